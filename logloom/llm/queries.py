@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .language import identify
 from .packing import pack
+from .quality import quality
+from .sharding import shard
 from .simhash import near_duplicates
 from .token_counts import token_counts
 
@@ -22,6 +24,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op6_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"), shards=16)
+
+
+def op7_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=3)
 
@@ -33,6 +43,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op5_token_counts": op5_token_counts,
+    "op6_histogram_sharding": op6_histogram_sharding,
+    "op7_robust_quality": op7_robust_quality,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }

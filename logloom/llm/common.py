@@ -17,21 +17,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only where that is
-    unset is one chosen: a temporary folder in local mode (tests), else a
-    folder beside the warehouse, which executors share.
+    Only where that is unset is one chosen: a temporary folder in local mode
+    (tests), else a folder beside the warehouse, which executors share.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        known = context._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            return known.get()
+        local = context.master.startswith("local[") or context.master == "local"
+        shared = tempfile.mkdtemp(prefix="checkpoints-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            local = context.master.startswith("local[") or context.master == "local"
-            shared = tempfile.mkdtemp(prefix="checkpoints-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
         context.setCheckpointDir(shared)
+    return shared
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the cluster's shared checkpoint folder and read it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

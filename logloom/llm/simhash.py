@@ -144,3 +144,16 @@ def near_duplicates(documents: DataFrame, width: int = 3, radius: int = 3, text:
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = cut_lineage(rooted.select("fp", "root").join(cut_lineage(named), "root").select("fp", "component_id"))
     return prints.join(of, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(documents: DataFrame, width: int = 5, radius: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of each component of near-duplicates: the one with the least key (null last); all columns stay.
+
+    Rows that repeat both key and text are one.  Texts without words, null
+    among them, are one component.
+    """
+    row = F.xxhash64(F.coalesce(documents[key].cast("string"), F.lit("\x00")), F.coalesce(documents[text].cast("string"), F.lit("")))
+    place = F.struct(documents[key].isNull().alias("last"), documents[key].alias("key"), row.alias("row"))
+    found = near_duplicates(documents.select(place.alias("place"), documents[text].alias("text")), width, radius, "text", "place")
+    first = cut_lineage(found.select(F.col("component_id.row").alias("__row")).distinct())
+    return documents.withColumn("__row", row).join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(*documents.columns)

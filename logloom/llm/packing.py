@@ -29,7 +29,7 @@ from .token_counts import byte_alphabet
 
 #: Fixed value of the public lower-case BPE: its pre-tokenizer pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 600_000
 
 
 class ChunkEncoder:
@@ -37,21 +37,30 @@ class ChunkEncoder:
 
     No pre-token of this tokenizer holds white space, so the ids of a text are
     those of its white-space separated chunks in order.  A chunk that is not
-    cached goes through the library's normalizer and model.
+    cached goes through the library's normalizer and model, word by word.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.pattern = regex.compile(PATTERN)
         self.alphabet = byte_alphabet()
+        self.words: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunks: dict[str, bytes] = {}
 
     def _chunk(self, chunk: str) -> bytes:
-        model, ids = self.tokenizer.model, []
-        for word in self.pattern.findall(self.tokenizer.normalizer.normalize_str(chunk)):
-            ids += [t.id for t in model.tokenize("".join([self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")]))]
-        return np.array(ids, "<u4").tobytes()
+        low = chunk.lower() if chunk.isascii() else self.tokenizer.normalizer.normalize_str(chunk)
+        cached = self.words
+        out = []
+        for word in (low,) if low.isalpha() and low.isascii() else self.pattern.findall(low):
+            known = cached.get(word)
+            if known is None:
+                if len(cached) > CACHE_CHUNKS:
+                    cached.clear()
+                tokens = self.tokenizer.model.tokenize("".join([self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")]))
+                known = cached[word] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+            out.append(known)
+        return b"".join(out)
 
     def ids(self, text: str | None) -> bytes:
         if not text:
@@ -65,13 +74,10 @@ class ChunkEncoder:
         except KeyError:
             if len(chunks) > CACHE_CHUNKS:
                 chunks.clear()
-            out = []
             for w in words:
-                known = chunks.get(w)
-                if known is None:
-                    known = chunks[w] = self._chunk(w)
-                out.append(known)
-            return b"".join(out)
+                if w not in chunks:
+                    chunks[w] = self._chunk(w)
+            return b"".join(map(chunks.__getitem__, words))
 
 
 #: What Python splits on but the tokenizer does not, and marks that may combine with what stands before.

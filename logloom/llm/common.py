@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python kernel holds at once; batches are cut to about this size.
 KERNEL_BYTES = 4 << 20
+#: Bits of a filter that is broadcast before an exact join (512 KB).
+FILTER_BITS = 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +45,38 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as compressed Parquet to the shared folder and read it back.
+
+    It cuts lineage like ``cut_lineage``, takes less disk for wide tables, and
+    later reads take only the columns they need.  The folder belongs to the run
+    and can go when the run is over.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bit_filter(keys: DataFrame, key: str) -> DataFrame:
+    """One row ``bits``: a bitmap of ``FILTER_BITS`` bits of the hashes of a long column.
+
+    Its size is fixed.  A row whose bit is off has no equal among the keys;
+    one whose bit is on may have, so an exact join has to follow.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b"))
+    dense = [0] * (FILTER_BITS // 64)
+    for r in words.collect():  # at most FILTER_BITS / 64 rows
+        dense[r["w"]] = r["b"]
+    return F.broadcast(keys.sparkSession.createDataFrame([(dense,)], "bits array<long>"))
+
+
+def may_match(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """The rows whose key may be among those of a ``bit_filter``."""
+    place = F.pmod(F.xxhash64(rows[key]), F.lit(FILTER_BITS))
+    return rows.join(bits, F.getbit(F.get(bits["bits"], F.shiftright(place, 6).cast("int")), (place % 64).cast("int")) == 1, "left_semi")
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8 bytes of a text; null counts as empty."""
     return text.encode("utf-8", "surrogatepass") if text else b""

@@ -98,6 +98,10 @@ def held_out(key: str) -> Column:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """Prototypes of all languages of ``labelled``: every row counts, none is sampled.
 
+    Each text is bundled at unit length (its n-gram counts over their Euclidean
+    norm, in steps of 1/65536), so that a long text of one repeated string
+    weighs no more than any other.
+
     What reaches the driver is one number for each language and n-gram, at most
     ``64 ** 3`` for a language however many rows there are.
     """
@@ -109,10 +113,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
                 codes = grams(t)
                 if name not in totals:
                     totals[name] = np.zeros(SYMBOLS**GRAM, np.int64)
-                if len(codes) > 1 << 15:
-                    totals[name] += np.bincount(codes, minlength=SYMBOLS**GRAM)
-                else:
-                    np.add.at(totals[name], codes, 1)
+                own, n = np.unique(codes, return_counts=True)
+                totals[name][own] += np.rint(n * (65536 / np.linalg.norm(n))).astype(np.int64) if len(n) else 0
         for name, total in totals.items():
             codes = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes)), pa.array(codes.astype(np.int32)), pa.array(total[codes])], names=["lang", "gram", "n"])
@@ -185,7 +187,8 @@ def keep_identified(documents: DataFrame, least: float = 0.05, text: str = "text
     """The rows whose text has a language: not ``und``, and a cosine of ``least`` or more; all columns stay."""
     langs, prototypes = train(documents.where(~held_out(key)), text, lang)
     names = documents.columns
-    extra = [documents[c] for c in names]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + ", lang_pred string, score double"
+    extra = [documents[c].alias(f"c{i}") for i, c in enumerate(names)]
+    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(documents.schema)) + ", lang_pred string, score double"
     found = predict(documents, langs, prototypes, extra, text, schema)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*names)
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -73,8 +73,8 @@ def shard(documents: DataFrame, shards: int = 16, tolerance: float = 0.001, text
     ``key, size`` (UTF-8 bytes + 1), ``text_crc32, law`` ("bytes"), ``shard``,
     ``slot`` (0, 1, .. in each shard), ``grown_shard`` (null: only the law by
     key has it).  Sizes differ from the mean by the tolerance and by the largest
-    group of equal texts that lies on a boundary.  A null text counts as 0
-    bytes with the checksum of the empty text; null keys and repeated rows are
+    group of equal texts that lies on a boundary.  A null text counts as
+    an empty one; null keys and repeated rows are
     kept as they are; an empty table gives no rows; other columns are not read.
     """
     body = documents[text].cast("string")
@@ -83,7 +83,7 @@ def shard(documents: DataFrame, shards: int = 16, tolerance: float = 0.001, text
             documents[key].alias("key"),
             (text_bytes(text) + 1).alias("size"),
             F.crc32(F.coalesce(body, F.lit(""))).alias("text_crc32"),
-            F.xxhash64(body).alias("sort_key"),
+            F.xxhash64(F.coalesce(body, F.lit(""))).alias("sort_key"),
             F.pmod(F.xxhash64(documents[key], F.monotonically_increasing_id()), F.lit(SALTS)).alias("salt"),
         )
     )

@@ -142,3 +142,27 @@ def k_clique_clusters(nodes: DataFrame, edges: DataFrame, k: int, threshold: flo
     members = numbered.join(communities, "node_id").select(F.explode("nodes").alias("n"), "cluster_id")
     least = members.groupBy("cluster_id").agg(F.min("n").alias("least"))
     return nodes.join(members.join(least, "cluster_id").groupBy("n").agg(F.min("least").alias("least")).withColumnRenamed("n", "node_id"), "node_id", "left").select("node_id", F.coalesce("least", "node_id").alias("cluster_id"))
+
+
+def distances_from(edges: DataFrame, sources: DataFrame, rounds: int) -> DataFrame:
+    """``node_id, distance`` from the nearest source over 1 - weight, by rounds of relaxation (paths of at most ``rounds`` edges)."""
+    both = written(symmetric(edges).select("node_id", "other", F.round(1 - F.col("weight"), 3).alias("step")))
+    best = sources.select("node_id", F.lit(0.0).alias("distance"))
+    for _ in range(rounds):
+        reached = best.join(both, "node_id").select(F.col("other").alias("node_id"), (F.col("distance") + F.col("step")).alias("distance"))
+        best = written(best.unionByName(reached).groupBy("node_id").agg(F.min("distance").alias("distance")))
+    return best.select("node_id", F.round("distance", 3).alias("distance"))
+
+
+def density_clusters(nodes: DataFrame, near: DataFrame, least: int) -> DataFrame:
+    """Density clustering over ``near(src, dst)`` pairs: cores have ``least`` neighbours (themselves included).
+
+    Cores that are near each other are one cluster, a border node joins its
+    least core's cluster, noise is alone.
+    """
+    both = near.selectExpr("src node_id", "dst other").unionByName(near.selectExpr("dst node_id", "src other"))
+    cores = written(both.groupBy("node_id").agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") >= least).select("node_id"))
+    inner = near.join(cores.withColumnRenamed("node_id", "src"), "src", "left_semi").join(cores.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+    found = written(components(cores, inner.select("src", "dst")))
+    border = both.join(cores, "node_id", "left_anti").join(found.select(F.col("node_id").alias("other"), "cluster_id"), "other").groupBy("node_id").agg(F.min(F.struct("other", "cluster_id")).alias("b")).select("node_id", F.col("b.cluster_id").alias("cluster_id"))
+    return nodes.select("node_id").join(found.unionByName(border), "node_id", "left").select("node_id", F.coalesce("cluster_id", "node_id").alias("cluster_id"))

@@ -240,3 +240,64 @@ def per_component(nodes: DataFrame, edges: DataFrame, kernel: Callable[[Graph],
 
     made = owned.groupBy("cluster_id").applyInPandas(run, "node_id long, cluster_id long")
     return nodes.select("node_id").join(made, "node_id", "left").select("node_id", F.coalesce("cluster_id", "node_id").alias("cluster_id"))
+
+
+def maximal_clique_clusters(graph: Graph, k: int = 2, threshold: float = 0.0) -> dict[int, int]:
+    """Percolation of maximal cliques of at least k nodes whose intensity exceeds the threshold.
+
+    A node of several cliques goes to the one with the larger summed weight
+    around it (ties: the later clique); uncovered nodes are alone.
+    """
+    label: dict[int, int] = {n: n for n in graph}
+    strength: dict[int, float] = {}
+    for clique in maximal_cliques(graph):
+        weights = [graph[a][b] for i, a in enumerate(clique) for b in clique[i + 1 :]]
+        if len(clique) < max(2, k) or np.exp(np.mean(np.log(weights))) <= threshold:
+            continue
+        for n in clique:
+            own = sum(graph[n][m] for m in clique if m != n)
+            if n not in strength or own >= strength[n]:
+                strength[n], label[n] = own, clique[0]
+    return label
+
+
+def recursive_louvain(graph: Graph) -> dict[int, int]:
+    """Louvain again inside each community until one remains."""
+    done: dict[int, int] = {}
+    queue = [graph]
+    while queue:
+        part = queue.pop()
+        label = louvain(part)
+        groups: dict[int, set[int]] = defaultdict(set)
+        for n, c in label.items():
+            groups[c].add(n)
+        for own in groups.values():
+            if len(groups) == 1 or len(own) == 1:
+                done |= {n: min(own) for n in own}
+            else:
+                inner = {n: {m: w for m, w in part[n].items() if m in own} for n in own}
+                queue.append(inner)
+    return done
+
+
+def cut_sides(graph: Graph) -> dict[int, int]:
+    """The two sides of the global minimum cut."""
+    if len(graph) < 2:
+        return {n: n for n in graph}
+    _, side = min_cut(graph)
+    other = set(graph) - side
+    return {n: min(side) for n in side} | {n: min(other) for n in other}
+
+
+def refined_neighbour(graph: Graph) -> dict[int, int]:
+    """Heaviest-neighbour clustering, then once more over the clusters; one cluster for all means none."""
+    first = heaviest_neighbour(graph)
+    outer: Graph = defaultdict(dict)
+    for n in graph:
+        for m, w in graph[n].items():
+            a, b = first[n], first[m]
+            if a != b:
+                outer[a][b] = max(outer[a].get(b, 0.0), w)
+    second = heaviest_neighbour(outer) if outer else {}
+    label = {n: second.get(c, c) for n, c in first.items()}
+    return {n: n for n in graph} if len(set(label.values())) == 1 and len(graph) > 2 else label

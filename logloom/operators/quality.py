@@ -144,3 +144,14 @@ def dominant_labels(lines: DataFrame, phrases: list[str], cluster: str = "cluste
     owner = best.groupBy("label").agg(F.min(F.struct((-F.col("n")).alias("n"), cluster)).alias("o")).select("label", F.col(f"o.{cluster}").alias("owner"))
     named = best.join(owner, "label").where(F.col(cluster) == F.col("owner")).select(cluster, "label")
     return lines.select(cluster).distinct().join(named, cluster, "left").select(cluster, F.coalesce("label", F.lit("undefined")).alias("label"))
+
+
+def xie_beni(rows: DataFrame, cluster: str = "cluster_id", order: str = "line_id", text: str = "event") -> DataFrame:
+    """Sum of squared similarities to the centroid over the lines times the least squared similarity of centroids."""
+    split = lambda c: F.filter(F.split(c, " "), lambda t: t != "")
+    likeness = lambda a, b: pair_cosine(a, b, split(a), split(b))
+    own = centroids(rows, cluster, order, text, distinct=False)
+    inner = rows.groupBy(cluster, text).agg(F.count(F.lit(1)).alias("m")).join(own, cluster)
+    top = inner.agg(F.sum(F.col("m") * F.pow(likeness(F.col(text), F.col("centroid")), 2)).alias("top"), F.sum("m").alias("n"))
+    least = own.select(F.col("centroid").alias("a")).join(own.select(F.col("centroid").alias("b"))).agg(F.min(likeness(F.col("a"), F.col("b"))).alias("least"))
+    return top.join(least).select(F.round(F.coalesce(F.try_divide("top", F.col("n") * F.pow("least", 2)), F.lit(0.0)), 3).alias("value"))

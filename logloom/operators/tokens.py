@@ -129,3 +129,29 @@ def assign_templates(lines: DataFrame, templates: DataFrame) -> DataFrame:
     matched = lines.join(templates, F.forall("fragments", lambda f: F.contains(F.col("raw"), f)))
     rank = F.struct((-F.aggregate("fragments", F.lit(0), lambda s, f: s + F.length(f))).alias("l"), "template_id")
     return matched.groupBy("line_id").agg(F.min(rank).alias("r")).select("line_id", F.col("r.template_id").alias("template_id"))
+
+
+def position_cardinalities(rows: DataFrame) -> DataFrame:
+    """``part, card, places, first``: how many places of a part have each number of distinct tokens, and the first of them."""
+    cards = rows.select("part", F.posexplode("tokens").alias("pos", "token")).groupBy("part", "pos").agg(F.countDistinct("token").alias("card"))
+    return cards.groupBy("part", "card").agg(F.count(F.lit(1)).alias("places"), F.min("pos").alias("first"))
+
+
+def goodness(rows: DataFrame) -> DataFrame:
+    """Share of constant places of each part."""
+    cards = position_cardinalities(rows)
+    return cards.groupBy("part").agg(F.round(F.sum(F.when(F.col("card") == 1, F.col("places")).otherwise(0)) / F.sum("places"), 6).alias("goodness"))
+
+
+def token_entropy(rows: DataFrame) -> DataFrame:
+    """Entropy of the tokens of each place, counts over the number of distinct tokens."""
+    n = rows.select("part", F.posexplode("tokens").alias("pos", "token")).groupBy("part", "pos", "token").agg(F.count(F.lit(1)).alias("n"))
+    d = n.groupBy("part", "pos").agg(F.count(F.lit(1)).alias("d"))
+    p = F.col("n") / F.col("d")
+    return n.join(d, ["part", "pos"]).groupBy("part", "pos").agg(F.round(F.sum(-p * F.log(p)), 6).alias("entropy"))
+
+
+def support_sweep(rows: DataFrame, percents: list[int], lines: int) -> DataFrame:
+    """``percent, words``: frequent words at each relative support, from one count of the words."""
+    counts = rows.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("n", F.explode(F.array(*map(F.lit, percents))).alias("percent")).groupBy("percent").agg(F.count_if(F.col("n") >= F.floor(F.col("percent") * lines / 100)).alias("words"))

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+import logloom.plans.more  # noqa: F401  registers its queries
 from logloom.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -155,3 +155,17 @@ def xie_beni(rows: DataFrame, cluster: str = "cluster_id", order: str = "line_id
     top = inner.agg(F.sum(F.col("m") * F.pow(likeness(F.col(text), F.col("centroid")), 2)).alias("top"), F.sum("m").alias("n"))
     least = own.select(F.col("centroid").alias("a")).join(own.select(F.col("centroid").alias("b"))).agg(F.min(likeness(F.col("a"), F.col("b"))).alias("least"))
     return top.join(least).select(F.round(F.coalesce(F.try_divide("top", F.col("n") * F.pow("least", 2)), F.lit(0.0)), 3).alias("value"))
+
+
+def text_silhouette(pairs: DataFrame, membership: DataFrame) -> DataFrame:
+    """Silhouette over all pairs: pairs that are not stored have similarity 0, so sums over stored ones are enough."""
+    sizes = membership.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+    both = pairs.selectExpr("src n", "dst o", "weight").unionByName(pairs.selectExpr("dst n", "src o", "weight"))
+    near = both.join(membership.selectExpr("node_id o", "cluster_id co"), "o").groupBy("n", "co").agg(F.sum("weight").alias("w"))
+    every = membership.selectExpr("node_id n", "cluster_id cn").join(F.broadcast(sizes.selectExpr("cluster_id co", "size")))  # clusters are few
+    full = every.join(near, ["n", "co"], "left").withColumn("others", F.col("size") - (F.col("cn") == F.col("co")).cast("long"))
+    d = full.select("n", "cn", "co", (1 - F.try_divide(F.coalesce("w", F.lit(0.0)), F.col("others"))).alias("d")).where("d is not null")
+    ab = d.groupBy("n", "cn").agg(F.coalesce(F.max(F.when(F.col("cn") == F.col("co"), F.col("d"))), F.lit(0.0)).alias("a"), F.coalesce(F.min(F.when(F.col("cn") != F.col("co"), F.col("d"))), F.lit(0.0)).alias("b"))
+    scored = ab.join(F.broadcast(sizes), F.col("cn") == F.col("cluster_id"))
+    s = F.when(F.col("size") == 1, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return scored.select("cluster_id", s.alias("s")).groupBy("cluster_id").agg(F.avg("s").alias("s")).agg(F.round(F.coalesce(F.avg("s"), F.lit(-1.0)), 3).alias("value"))

@@ -155,3 +155,33 @@ def support_sweep(rows: DataFrame, percents: list[int], lines: int) -> DataFrame
     """``percent, words``: frequent words at each relative support, from one count of the words."""
     counts = rows.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return counts.select("n", F.explode(F.array(*map(F.lit, percents))).alias("percent")).groupBy("percent").agg(F.count_if(F.col("n") >= F.floor(F.col("percent") * lines / 100)).alias("words"))
+
+
+def local_search(pairs: list[set[tuple[str, str]]], groups: list[int], k: int, rounds: int = 50) -> list[int]:
+    """Move lines between groups while the potential of shared term pairs rises; the first strictly best group wins.
+
+    The potential of a line in a group is the sum, over its pairs, of the cubed
+    share of the group's lines that have the pair.
+    """
+    sizes, counts = [0] * k, [dict() for _ in range(k)]
+    for own, g in zip(pairs, groups, strict=True):
+        sizes[g] += 1
+        for p in own:
+            counts[g][p] = counts[g].get(p, 0) + 1
+    for _ in range(rounds):
+        moved = False
+        for i, own in enumerate(pairs):
+            g = groups[i]
+            value = [sum((counts[c].get(p, 0) / sizes[c]) ** 3 for p in own) if sizes[c] else 0.0 for c in range(k)]
+            best = max(range(k), key=lambda c: (value[c], -c))
+            if value[best] > value[g] + 1e-12:
+                moved = True
+                groups[i] = best
+                sizes[g] -= 1
+                sizes[best] += 1
+                for p in own:
+                    counts[g][p] -= 1
+                    counts[best][p] = counts[best].get(p, 0) + 1
+        if not moved:
+            break
+    return groups

@@ -51,15 +51,15 @@ def sim_06(s, d):
 
 @query("sim_13_template_by_subsequence")
 def sim_13(s, d):
-    nodes = _nodes(s, d).where("node_id < 80").select("node_id", F.split("event", " ").alias("tokens"))
-    marks = nodes.where("node_id % 20 = 0").select(F.col("node_id").alias("template_id"), F.col("tokens").alias("t"))
-    scored = nodes.join(marks, F.lit(True)).select("node_id", "template_id", F.size(st.common_subsequence_udf("tokens", "t")).alias("n"))
+    nodes = _nodes(s, d).select("node_id", F.split("event", " ").alias("tokens"))
+    types = ev.numbered(_table(s, d, "part").select(F.lower("p_type").alias("type")).distinct(), "type", "template_id")
+    scored = nodes.join(types.select("template_id", F.split("type", " ").alias("t")), F.lit(True)).select("node_id", "template_id", F.size(st.common_subsequence_udf("tokens", "t")).alias("n"))
     return scored.groupBy("node_id").agg(F.max(F.struct("n", "template_id")).alias("b")).select("node_id", F.col("b.template_id").alias("template_id"))
 
 
-@_graph_query("gra_05_induced_subgraph", "z as (select 1) select src, dst, weight from edges where src < 100 and dst < 100")
+@_graph_query("gra_05_induced_subgraph", "z as (select 1) select src, dst, weight from edges where src in (select node_id from nodes where frequency > 5) and dst in (select node_id from nodes where frequency > 5)")
 def gra_05(s, d):
-    few = _nodes(s, d).where("node_id < 100").select("node_id")
+    few = _nodes(s, d).where("frequency > 5").select("node_id")
     return _edges(s, d).join(few.withColumnRenamed("node_id", "src"), "src", "left_semi").join(few.withColumnRenamed("node_id", "dst"), "dst", "left_semi").select("src", "dst", "weight")
 
 
@@ -75,13 +75,15 @@ def gra_15(s, d):
     return joined.groupBy(F.col("src").alias("node_id")).agg(F.max(F.greatest("a", "b")).alias("cluster_id"))
 
 
-_HOPS = "d0 as (select node_id, 0.0::double d from nodes where node_id % 50 = 0)" + "".join(f", d{i + 1} as (select node_id, min(d) d from (select * from d{i} union all select sy.o, d{i}.d + round(1 - weight, 3) from d{i} join sy on sy.n = d{i}.node_id) group by 1)" for i in range(4))
+_HOPS = "dg as (select n, count(*) c from sy group by 1), d0 as (select n node_id, 0.0::double d from dg where c = (select max(c) from dg))" + "".join(f", d{i + 1} as (select node_id, min(d) d from (select * from d{i} union all select sy.o, d{i}.d + round(1 - weight, 3) from d{i} join sy on sy.n = d{i}.node_id) group by 1)" for i in range(4))
 
 
 @_graph_query("gra_18_path_distances", f"{_HOPS} select node_id, round(d, 3) as distance from d4")
 def gra_18(s, d):
-    nodes = _nodes(s, d)
-    return graph.distances_from(_edges(s, d), nodes.where("node_id % 50 = 0"), 4)
+    edges = graph.written(_edges(s, d))
+    degrees = graph.written(graph.degrees(edges))
+    centres = degrees.join(F.broadcast(degrees.agg(F.max("degree").alias("degree"))), "degree").select("node_id")
+    return graph.distances_from(edges, centres, 4)
 
 
 for _name, _kernel in (
@@ -173,3 +175,33 @@ def pre_11(s, d):
 @query("tok_25_subcluster_counts", f"with {_BRAND} select cluster_id, len(string_split(event, ' ')) as n_words, count(*) as n from c group by 1, 2")
 def tok_25(s, d):
     return _brands(s, d).groupBy("cluster_id", F.size(tx.words(F.col("event"))).alias("n_words")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_graph_query(
+    "int_06_text_silhouette",
+    f"{_MEM}, z as (select cluster_id, count(*) size from m group by 1), sa as (select src n, dst o, weight from sims where weight > 0 union all select dst, src, weight from sims where weight > 0), nr as (select n, cluster_id co, sum(weight) w from sa join m on m.node_id = o group by 1, 2), dd as (select m.node_id n, m.cluster_id cn, z.cluster_id co, 1 - coalesce(w, 0) / (z.size - case when m.cluster_id = z.cluster_id then 1 else 0 end) d from m, z left join nr on nr.n = m.node_id and nr.co = z.cluster_id), ab as (select n, cn, max(case when cn = co then d end) a, min(case when cn <> co then d end) b from dd group by 1, 2) select round(avg(s), 3) as value from (select cn, avg((b - a) / greatest(a, b)) s from ab group by 1)",
+)
+def int_06(s, d):
+    return quality.text_silhouette(graph.written(_edges(s, d, 0.0)), _fives(s, d))
+
+
+@query("abs_05_trailing_asterisks", "select p_partkey as line_id, 2 as n from part")
+def abs_05(s, d):
+    from logloom.operators import templates
+
+    part = _table(s, d, "part")
+    return part.select(F.col("p_partkey").alias("line_id"), templates.trailing_asterisks(F.concat(F.col("p_type"), F.lit(" * end * *"))).alias("n"))
+
+
+@query("tok_16_local_search")
+def tok_16(s, d):
+    import pandas as pd
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("line_id")
+        pairs = [{(a, b) for i, a in enumerate(t) for b in t[i + 1 :]} for t in part.tokens]
+        return pd.DataFrame({"line_id": part.line_id, "group_id": tk.local_search(pairs, part.group_id.tolist(), 4)})
+
+    rows = _orders(s, d)
+    files = _table(s, d, "orders").select(F.col("o_orderkey").alias("line_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("file"))  # one file a day
+    return rows.join(tk.initial_groups(rows, 4, 7), "line_id").join(files, "line_id").groupBy("file").applyInPandas(run, "line_id long, group_id int")

@@ -515,7 +515,7 @@ def tok_27(s, d):
 
 @query("abs_01_substring_templates")
 def abs_01(s, d):
-    return templates.substring_templates(_brands(s, d).where("line_id <= 200"), "cluster_id", "line_id", "event")
+    return templates.substring_templates(_brands(s, d), "cluster_id", "line_id", "event")
 
 
 @query("abs_02_candidate_groups", f"with {_BRAND} select cluster_id, len(string_split(event, ' ')) as n_words, count(*) as n_lines, count(distinct event) as n_texts from c group by 1, 2")
@@ -706,14 +706,14 @@ def sim_07(s, d):
 
 @query("sim_09_edit_distance")
 def sim_09(s, d):
-    n = _nodes(s, d).where("node_id < 60").select("node_id", F.split("event", " ").alias("tokens"))
+    n = _nodes(s, d).select("node_id", F.split("event", " ").alias("tokens")).repartition("node_id")
     pairs = n.selectExpr("node_id a", "tokens ta").join(n.selectExpr("node_id b", "tokens tb"), F.expr("a <= b"))
     return pairs.select("a", "b", F.round(st.edit_distance_udf("ta", "tb", F.lit(3.0)), 6).alias("distance"))
 
 
 @query("sim_12_common_subsequence")
 def sim_12(s, d):
-    n = _nodes(s, d).where("node_id < 60").select("node_id", F.split("event", " ").alias("tokens"))
+    n = _nodes(s, d).select("node_id", F.split("event", " ").alias("tokens")).repartition("node_id")
     pairs = n.selectExpr("node_id a", "tokens ta").join(n.selectExpr("node_id b", "tokens tb"), F.expr("a < b"))
     return pairs.select("a", "b", F.concat_ws(" ", st.common_subsequence_udf("ta", "tb")).alias("common"))
 

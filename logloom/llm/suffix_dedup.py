@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, utf8
+from .common import cut_lineage, stored, utf8
 
 #: Bytes of a gram, starts in a block, blocks in a shard, blocks of a core that stay in one shard, bytes handled at once.
 GRAM, BLOCK, SHARD, CORE_BLOCKS, SEGMENT = 64, 64, 6000, 256, 4 << 20
@@ -223,9 +223,9 @@ def repeated_starts(documents: DataFrame, length: int, text: str) -> DataFrame:
             flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([tids.take(take), pa.array(flat.view(np.int64)), pa.array(np.concatenate(counts).astype(np.int32) if counts else [], pa.int32())], names=["tid", "gram", "n"])
 
-    found = cut_lineage(rows.mapInArrow(anchors, "tid binary, gram long, n int"))
+    found = stored(rows.mapInArrow(anchors, "tid binary, gram long, n int"))
     often = cut_lineage(found.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram"))
-    wanted = cut_lineage(found.join(often, "gram").groupBy("tid").agg(F.collect_set("gram").alias("grams")))
+    wanted = stored(found.join(often, "gram").groupBy("tid").agg(F.collect_set("gram").alias("grams")))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,9 +256,9 @@ def repeated_starts(documents: DataFrame, length: int, text: str) -> DataFrame:
                     yield flush()
             yield flush()
 
-    made = cut_lineage(rows.join(wanted, "tid").select("tid", "t", "grams").mapInArrow(blocks, "mid binary, tid binary, zero long, core binary, left binary, right binary, n int"))
+    made = stored(rows.join(wanted, "tid").select("tid", "t", "grams").mapInArrow(blocks, "mid binary, tid binary, zero long, core binary, left binary, right binary, n int"))
     members = made.groupBy("mid").agg(F.max("core").alias("core"), F.max("left").alias("left"), F.max("right").alias("right"), F.sum("n").alias("n"))
-    members = cut_lineage(members)
+    members = stored(members)
     crowded = cut_lineage(members.groupBy("core").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all")).where("all > 1").select("core", F.ceil(F.col("m") / CORE_BLOCKS).cast("int").alias("s")))
     dealt = members.join(crowded, "core").withColumn("salt", F.pmod(F.xxhash64("mid"), F.col("s")).cast("int"))
     dealt = dealt.select("core", "salt", "s", "mid", "left", "right", "n").repartition("core", "salt").sortWithinPartitions("core", "salt", "mid")

@@ -16,6 +16,7 @@ that leaves no similar window out.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,7 +24,8 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import slices, utf8
@@ -218,21 +220,26 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text",
     item_type = to_arrow_type(benchmark.schema[item].dataType)
     out = None
     for ids, texts in benchmark_blocks(benchmark, item, item_text):
-        part = rows.mapInArrow(_finder(documents.sparkSession.sparkContext.broadcast((ids, texts)), key, item, item_type), schema)
+        part = rows.mapInArrow(_finder(_sent(documents.sparkSession, ids, texts), key, item, item_type), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else rows.limit(0).selectExpr(f"`{key}`", f"cast(null as {item_kind}) `{item}`", "0L start_word", "0L n_words", "0L n_windows", "0D similarity")
 
 
-_built: dict[int, Benchmark] = {}
+_built: dict[str, Benchmark] = {}
 
 
-def _index(shared) -> Benchmark:
+def _sent(spark: SparkSession, ids: list, texts: list[str | None]) -> Broadcast:
+    """A broadcast block under a name of its own; workers outlive tasks, and addresses of values come again."""
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, ids, texts))
+
+
+def _index(shared: Broadcast) -> Benchmark:
     """The index of a broadcast block, built once in each worker."""
-    key = id(shared.value)
-    if key not in _built:
+    name, ids, texts = shared.value
+    if name not in _built:
         _built.clear()
-        _built[key] = Benchmark(*shared.value)
-    return _built[key]
+        _built[name] = Benchmark(ids, texts)
+    return _built[name]
 
 
 def _finder(shared, key: str, item: str, item_type: pa.DataType):
@@ -259,7 +266,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     schema = documents.schema
     out = documents
     for ids, texts in benchmark_blocks(benchmark, item, item_text):
-        shared = documents.sparkSession.sparkContext.broadcast((ids, texts))
+        shared = _sent(documents.sparkSession, ids, texts)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = _index(shared)

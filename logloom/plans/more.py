@@ -140,6 +140,24 @@ def int_01(s, d):
     return n.select(F.col("node_id").alias("a"), F.col("node_id").alias("b"), quality.text_distance(F.col("event"), F.col("event")).alias("distance"))
 
 
+def _sharing(s, d):
+    """``a, b, ta, tb``: all pairs a < b of nodes that share a word, with their texts; pairs that share none have distance 1."""
+    n = graph.written(_nodes(s, d).select("node_id", "event"))
+    words = n.select("node_id", F.explode(F.array_distinct(F.split("event", " "))).alias("word")).where("word <> ''")
+    pairs = words.selectExpr("node_id a", "word").join(words.selectExpr("node_id b", "word"), "word").where("a < b").select("a", "b").distinct()
+    return pairs.join(n.selectExpr("node_id a", "event ta"), "a").join(n.selectExpr("node_id b", "event tb"), "b")
+
+
+@_graph_query("int_01_text_distance_pairs", "z as (select 1) select src as a, dst as b, round(1 - weight, 3) as distance from sims")
+def int_01_pairs(s, d):
+    return _sharing(s, d).select("a", "b", quality.text_distance(F.col("ta"), F.col("tb")).alias("distance"))
+
+
+@query("sim_14_membership_pairs", f"with {_NODES} select a.node_id as a, b.node_id as b, len(list_intersect(string_split(a.event, ' '), string_split(b.event, ' '))) as common from nodes a join nodes b on a.node_id < b.node_id where common > 0")
+def sim_14_pairs(s, d):
+    return _sharing(s, d).select("a", "b", F.size(F.array_intersect(F.split("ta", " "), F.split("tb", " "))).alias("common"))
+
+
 @query("int_04_xie_beni")
 def int_04(s, d):
     return quality.xie_beni(_brands(s, d))

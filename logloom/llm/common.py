@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python kernel holds at once; batches are cut to about this size.
 KERNEL_BYTES = 4 << 20
-#: Bits of a filter that is broadcast before an exact join (512 KB).
-FILTER_BITS = 1 << 22
+#: Bits of a filter that is broadcast before an exact join: as many as the keys ask for, within these bounds (8 KB and 8 MB).
+FILTER_BITS = (1 << 16, 1 << 26)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +40,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and read it back."""
+    """Write ``df`` to the cluster's shared checkpoint folder and read it back.
+
+    It keeps the size that was estimated for the plan, so it does not suit
+    loops of joins, where that estimate grows with each round; see ``stored``.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -48,32 +52,47 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as compressed Parquet to the shared folder and read it back.
 
-    It cuts lineage like ``cut_lineage``, takes less disk for wide tables, and
-    later reads take only the columns they need.  The folder belongs to the run
-    and can go when the run is over.
+    It cuts lineage like ``cut_lineage``, takes less disk for wide tables,
+    knows the true size of what it holds, and later reads take only the columns
+    they need.  The folder belongs to the run; ``discard`` removes a table that
+    nothing reads any more, and the rest can go when the run is over.
     """
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``stored`` from the shared folder; what is not one is left alone."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def bit_filter(keys: DataFrame, key: str) -> DataFrame:
-    """One row ``bits``: a bitmap of ``FILTER_BITS`` bits of the hashes of a long column.
+    """One row ``bits``: a bitmap of the hashes of a long column, about 16 bits a key within ``FILTER_BITS``.
 
-    Its size is fixed.  A row whose bit is off has no equal among the keys;
-    one whose bit is on may have, so an exact join has to follow.
+    A row whose bit is off has no equal among the keys; one whose bit is on may
+    have, so an exact join has to follow.  Beyond the upper bound the filter
+    lets more through and the join does more of the work.
     """
-    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    least, most = FILTER_BITS
+    bits = min(most, max(least, 1 << (16 * max(1, keys.count()) - 1).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
     words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b"))
-    dense = [0] * (FILTER_BITS // 64)
-    for r in words.collect():  # at most FILTER_BITS / 64 rows
+    dense = [0] * (bits // 64)
+    for r in words.toLocalIterator():  # at most bits / 64 rows
         dense[r["w"]] = r["b"]
-    return F.broadcast(keys.sparkSession.createDataFrame([(dense,)], "bits array<long>"))
+    return F.broadcast(keys.sparkSession.createDataFrame([(dense, bits)], "bits array<long>, n_bits long"))
 
 
 def may_match(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
     """The rows whose key may be among those of a ``bit_filter``."""
-    place = F.pmod(F.xxhash64(rows[key]), F.lit(FILTER_BITS))
+    place = F.pmod(F.xxhash64(rows[key]), bits["n_bits"])
     return rows.join(bits, F.getbit(F.get(bits["bits"], F.shiftright(place, 6).cast("int")), (place % 64).cast("int")) == 1, "left_semi")
 
 

@@ -5,6 +5,9 @@ chains once, and contracts the edges onto the hooked nodes; edges inside one
 set vanish, so the edge table shrinks until it is empty.  Hubs are harmless:
 least neighbours are partial aggregates, and the joins that look pointers up
 have a written table on their other side, so that Spark can split hot keys.
+
+Tables between rounds are Parquet, not checkpoints: a checkpoint keeps the
+size that was estimated for the joins behind it, which squares each round.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,20 +24,23 @@ def components(edges: DataFrame) -> DataFrame:
     Loops, repeated edges and nulls are allowed (an edge with a null end links
     nothing); without edges the result is empty.
     """
-    edges = cut_lineage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found = None
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        hook = cut_lineage(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("to")))
-        nxt = hook.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        hook = cut_lineage(hook.join(nxt, "to").select("node", F.col("next").alias("to")))
+        first = stored(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("to")))
+        nxt = first.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        hook = stored(first.join(nxt, "to").select("node", F.col("next").alias("to")))
         left, right = hook.select(F.col("node").alias("a"), F.col("to").alias("ra")), hook.select(F.col("node").alias("b"), F.col("to").alias("rb"))
-        edges = cut_lineage(edges.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        rest = stored(edges.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        discard(edges, first)
+        edges = rest
         if found is None:
             found = hook.select("node", F.col("to").alias("root"))
         else:
             step = hook.select(F.col("node").alias("root"), "to")
-            found = cut_lineage(found.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+            found, old = stored(found.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))), found
+            discard(old, hook)
     if found is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return found

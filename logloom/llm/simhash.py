@@ -29,10 +29,14 @@ BUCKET = 1024
 
 def simhash(texts: list[bytes], width: int) -> np.ndarray:
     """Fingerprints (uint64) of normalised texts: a bit is 1 if more than half of the shingle hashes have it."""
-    hashes, first, _ = shingle_hashes(texts, width)
-    out = np.zeros(len(texts), np.uint64)
+    return simhash_of(*shingle_hashes(texts, width)[:2])
+
+
+def simhash_of(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Fingerprints of texts whose shingle hashes begin at ``first`` (one more at the end)."""
+    out = np.zeros(len(first) - 1, np.uint64)
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    for i in range(len(texts)):
+    for i in range(len(first) - 1):
         s, e = first[i], first[i + 1]
         if e > s:
             ones = np.zeros(64, np.int64)
@@ -152,8 +156,11 @@ def one_of_each(documents: DataFrame, width: int = 5, radius: int = 3, text: str
     Rows that repeat both key and text are one.  Texts without words, null
     among them, are one component.
     """
-    row = F.xxhash64(F.coalesce(documents[key].cast("string"), F.lit("\x00")), F.coalesce(documents[text].cast("string"), F.lit("")))
+    parts = F.coalesce(documents[key].cast("string"), F.lit("\x00")), F.coalesce(documents[text].cast("string"), F.lit(""))
+    row = F.struct(F.xxhash64(*parts).alias("x"), F.xxhash64(F.lit(1), *parts).alias("y"))
     place = F.struct(documents[key].isNull().alias("last"), documents[key].alias("key"), row.alias("row"))
     found = near_duplicates(documents.select(place.alias("place"), documents[text].alias("text")), width, radius, "text", "place")
-    first = cut_lineage(found.select(F.col("component_id.row").alias("__row")).distinct())
-    return documents.withColumn("__row", row).join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(*documents.columns)
+    first = cut_lineage(found.select("component_id.row").distinct())
+    # The columns travel in one struct, so that their names cannot clash with those of the join.
+    whole = documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("kept"), row.alias("row")).dropDuplicates(["row"])
+    return whole.join(first, "row", "left_semi").select("kept.*")

@@ -32,7 +32,10 @@ from .common import slices, utf8
 from .words import shingle_spans, xxh64_spans
 
 #: Words in a shingle, least similarity, bits that fingerprints may differ in, blocks of the index.
-WIDTH, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 20, 8
+#: One changed word costs ``WIDTH`` shingles on either side: (n - 5) / (n + 1) of n words remain, and (n - 8) / (n + 4) after two.
+#: So items from 11 words on are found with one word changed, from 20 words on with two; five words and 0.8 ask for 49 and 94.
+#: At this similarity 17 of 64 bits differ on average and 3.6 is the deviation; the radius is three of these away.
+WIDTH, SIMILARITY, RADIUS, BLOCKS = 3, 0.5, 28, 8
 #: Bytes of benchmark text that are sent to the executors at once; a larger benchmark goes in blocks.
 BENCHMARK_BYTES = 16 << 20
 
@@ -76,29 +79,35 @@ def window_fingerprints(hashes: np.ndarray, starts: np.ndarray, size: int) -> np
     return np.packbits(2 * ones > size, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
+#: Masks of a block's value that leave it in reach.
+NEAR = np.array([m for m in range(1 << 64 // BLOCKS) if m.bit_count() <= RADIUS // BLOCKS], np.int64)
+
+
 @dataclass
 class SizeIndex:
-    """Items of one number of words: fingerprints by block value, with all values in reach."""
+    """Items of one number of words: fingerprints, and in each block the items in the order of its value."""
 
     items: list[int] = field(default_factory=list)
     prints: list[int] = field(default_factory=list)
-    lookup: list[dict[int, list[int]]] = field(default_factory=list)
 
     def build(self) -> None:
         bits = 64 // BLOCKS
-        near = [sum(1 << i for i in flips) for d in range(RADIUS // BLOCKS + 1) for flips in combinations(range(bits), d)]
-        self.lookup = [defaultdict(list) for _ in range(BLOCKS)]
-        for k, fp in enumerate(self.prints):
-            for b in range(BLOCKS):
-                value = fp >> (bits * b) & ((1 << bits) - 1)
-                for flip in near:
-                    self.lookup[b][value ^ flip].append(k)
+        self.array = np.array(self.prints, np.uint64)
+        self.blocks = []
+        for b in range(BLOCKS):
+            values = (self.array >> np.uint64(bits * b)).astype(np.int64) & ((1 << bits) - 1)
+            self.blocks.append((np.argsort(values, kind="stable"), np.searchsorted(np.sort(values), np.arange((1 << bits) + 1))))
 
     def candidates(self, fp: int) -> list[int]:
-        bits, found = 64 // BLOCKS, set()
-        for b in range(BLOCKS):
-            found.update(self.lookup[b].get(fp >> (bits * b) & ((1 << bits) - 1), ()))
-        return [k for k in found if (fp ^ self.prints[k]).bit_count() <= RADIUS]
+        """All fingerprints within the radius: those have a block in which ``RADIUS // BLOCKS`` bits differ at most."""
+        bits, found = 64 // BLOCKS, []
+        for b, (order, start) in enumerate(self.blocks):
+            values = NEAR ^ (fp >> (bits * b) & ((1 << bits) - 1))
+            found += [order[start[v] : start[v + 1]] for v in values[start[values] < start[values + 1]].tolist()]
+        if not found:
+            return []
+        near = np.unique(np.concatenate(found))
+        return near[np.bitwise_count(self.array[near] ^ np.uint64(fp)) <= RADIUS].tolist()
 
 
 class Benchmark:
@@ -128,6 +137,9 @@ class Benchmark:
             self.bloom[w] = bits
         for index in self.sizes.values():
             index.build()
+        # Shingles of the benchmark that any window of a size needs at least: one of fewer shingles than its item needs as many of them.
+        self.order = sorted(self.sizes)
+        self.least = np.array([int(np.ceil(SIMILARITY * (n - min(WIDTH, n) + 1) - 1e-9)) for n in self.order])
 
     def hits(self, hashes: np.ndarray, width: int) -> np.ndarray:
         """Where shingles of the benchmark stand."""
@@ -160,7 +172,9 @@ class Benchmark:
                 flags = np.zeros(n - width + 2, np.int32)
                 flags[own + 1] = 1
                 upto = np.cumsum(flags)
-                for size, index in self.sizes.items():
+                for place in np.flatnonzero(self.least <= len(own)).tolist():
+                    size = self.order[place]
+                    index = self.sizes[size]
                     if min(size, WIDTH) != width:
                         continue
                     m = min(size, n) - width + 1  # shingles of a window; a shorter text is one window
@@ -209,7 +223,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text",
     ``key, item, start_word, n_words, n_windows, similarity``: the most similar
     window (the first of equals), and how many windows reach the least
     similarity.  A document that is shorter than an item is one window.  An
-    item of fewer than five words is one shingle and so matches windows of
+    item of fewer than three words is one shingle and so matches windows of
     equal words only.  Null or empty texts and items match nothing; null keys
     and repeated rows are reported row by row; empty tables give no rows; other
     columns are not read.

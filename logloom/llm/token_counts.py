@@ -26,8 +26,12 @@ from .common import utf8
 #: Fixed values of the public byte-level BPE: its pre-tokenizer pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Cached words per worker; beyond it the cache starts anew (a bound on memory, not on results).
-CACHE_WORDS = 400_000
+#: Cached words and pairs of tokens per worker; beyond it a cache starts anew (a bound on memory, not on results).
+CACHE_WORDS, CACHE_PAIRS = 400_000, 4_000_000
+#: Bytes from which a word is not cached and its table of prefixes is an array of its own.
+LONG_WORD = 64
+#: A run of letters: each of its prefixes is one pre-token too.
+LETTERS = regex.compile(r" ?\p{L}+")
 
 
 def byte_alphabet() -> list[str]:
@@ -59,6 +63,7 @@ class PrefixCounter:
         self.pattern = regex.compile(PATTERN)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.states: dict[bytes, tuple[int, int]] = {b"": (0, -1)}  # prefix -> tokens so far, last token
+        self.long: tuple[bytes, list[int], list[int]] = (b"", [0], [-1])  # the last long word: tokens and last token by prefix
         self.spaced: dict[str, int] = {}
         self.bare: dict[str, int] = {}
 
@@ -68,6 +73,8 @@ class PrefixCounter:
         key = (left, right)
         known = self.pairs.get(key)
         if known is None:
+            if len(self.pairs) > CACHE_PAIRS:
+                self.pairs.clear()
             known = self.pairs[key] = self._merged(self.of_id[left] + self.of_id[right]) == [left, right]
         return known
 
@@ -76,6 +83,9 @@ class PrefixCounter:
 
     def state(self, word: bytes) -> tuple[int, int]:
         """Tokens and last token of one pre-token; fills the table for all its prefixes."""
+        if len(word) >= LONG_WORD:
+            counts, lasts = self.table(word)
+            return counts[len(word)], lasts[len(word)]
         states = self.states
         known = states.get(word)
         if known is not None:
@@ -102,6 +112,25 @@ class PrefixCounter:
                 raise ValueError(f"no encoding of {word!r} in this vocabulary")
         return states[word]
 
+    def table(self, word: bytes) -> tuple[list[int], list[int]]:
+        """Tokens and last token of every prefix of one pre-token, in arrays as long as the word."""
+        whole, counts, lasts = self.long
+        if whole.startswith(word):
+            return counts, lasts
+        counts, lasts = [0], [-1]
+        ids, longest = self.ids, self.longest
+        for e in range(1, len(word) + 1):
+            for s in range(max(0, e - longest), e):
+                token = ids.get(word[s:e])
+                if token is not None and self.compatible(lasts[s], token):
+                    counts.append(counts[s] + 1)
+                    lasts.append(token)
+                    break
+            else:
+                raise ValueError(f"no encoding of {word!r} in this vocabulary")
+        self.long = (word, counts, lasts)
+        return counts, lasts
+
     def words(self, text: str) -> Iterator[tuple[str, bool]]:
         """Pre-tokens in order, with whether each is a special token."""
         for k, part in enumerate(self.split_special.split(text) if self.split_special else [text]):
@@ -135,7 +164,9 @@ class PrefixCounter:
             first, *rest = line.split(" ")
             n = bare.get(first)
             if n is None:
-                n = bare[first] = self._plain(first)
+                n = self._plain(first)
+                if len(first) < LONG_WORD:
+                    bare[first] = n
             total += n + 1  # the newline
             try:
                 total += sum(map(spaced.__getitem__, rest))
@@ -143,7 +174,9 @@ class PrefixCounter:
                 for chunk in rest:
                     n = spaced.get(chunk)
                     if n is None:
-                        n = spaced[chunk] = self._plain(" " + chunk)
+                        n = self._plain(" " + chunk)
+                        if len(chunk) < LONG_WORD:
+                            spaced[chunk] = n
                     total += n
         return total
 
@@ -156,13 +189,23 @@ class PrefixCounter:
         """
         text = text or ""
         starts, counts, at, total = [0], [0], 0, 0
+        inside: dict[int, int] = {}  # counts at prefixes that end inside a long run of letters, two characters in at least
         for word, special in self.words(text):
+            if len(word) >= LONG_WORD and not special and LETTERS.fullmatch(word):
+                tokens, place = self.table(word.encode("utf-8", "surrogatepass"))[0], 0
+                for k, c in enumerate(word[:-1]):
+                    place += len(c.encode("utf-8", "surrogatepass"))
+                    if k:
+                        inside[at + k + 1] = total + tokens[place]
             total += 1 if special else self.state(word.encode("utf-8", "surrogatepass"))[0]
             at += len(word)
             starts.append(at)
             counts.append(total)
         out = []
         for i in range(len(text) + 1):
+            if i in inside:
+                out.append(inside[i])
+                continue
             k = bisect_right(starts, i) - 1
             k = max(0, k - 1)
             floor = i - max(map(len, self.special), default=0)

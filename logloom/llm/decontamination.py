@@ -20,7 +20,7 @@ import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import combinations
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -121,11 +121,13 @@ class Benchmark:
         self.counts: list[Counter] = []
         self.sizes: dict[int, SizeIndex] = defaultdict(SizeIndex)
         self.grams: dict[int, set[int]] = defaultdict(set)  # width -> shingle hashes
+        sized: dict[int, set[tuple[int, int]]] = defaultdict(set)  # width -> shingle hash and words of an item that has it
         for k in range(len(some)):
             own = words[first[k] : first[k + 1]]
             h = chain(own, min(WIDTH, len(own)))
             self.counts.append(Counter(h.tolist()))
             self.grams[min(WIDTH, len(own))].update(h.tolist())
+            sized[min(WIDTH, len(own))].update((g, len(own)) for g in h.tolist())
             index = self.sizes[len(own)]
             index.items.append(k)
             index.prints.append(int(window_fingerprints(h, np.zeros(1, np.int64), len(h))[0]))
@@ -137,16 +139,23 @@ class Benchmark:
             self.bloom[w] = bits
         for index in self.sizes.values():
             index.build()
-        # Shingles of the benchmark that any window of a size needs at least: one of fewer shingles than its item needs as many of them.
+        # Shingles of items of a size that any window needs at least: one of fewer shingles than its item needs as many of them.
         self.order = sorted(self.sizes)
         self.least = np.array([int(np.ceil(SIMILARITY * (n - min(WIDTH, n) + 1) - 1e-9)) for n in self.order])
-
-    def hits(self, hashes: np.ndarray, width: int) -> np.ndarray:
-        """Where shingles of the benchmark stand."""
+        place = {n: k for k, n in enumerate(self.order)}
+        self.owners = {}
+        for w, pairs in sized.items():
+            both = sorted(pairs)
+            starts = np.searchsorted(np.array([g for g, _ in both], np.uint64), self.sorted[w])
+            self.owners[w] = (np.append(starts, len(both)), np.array([place[n] for _, n in both], np.int64))
+
+    def hits(self, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where shingles of the benchmark stand, and which."""
         maybe = np.flatnonzero(self.bloom[width][(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)])
         known = self.sorted[width]
         at = np.minimum(np.searchsorted(known, hashes[maybe]), len(known) - 1)
-        return maybe[known[at] == hashes[maybe]]
+        good = known[at] == hashes[maybe]
+        return maybe[good], at[good]
 
     def similarity(self, counts: Counter, item: int) -> float:
         other = self.counts[item]
@@ -159,32 +168,38 @@ class Benchmark:
         best: dict[tuple[int, int], list] = {}
         for width in self.grams:
             hashes = chain(words, width)
-            hit = self.hits(hashes, width)
+            hit, gram = self.hits(hashes, width)
             if not len(hit):
                 continue
             doc = np.searchsorted(first, hit, "right") - 1
             inside = hit + width <= first[doc + 1]  # not across two texts
-            hit, doc = hit[inside], doc[inside]
-            for d in np.unique(doc):
-                n = int(first[d + 1] - first[d])
-                base = int(first[d])
-                own = hit[doc == d] - base
-                flags = np.zeros(n - width + 2, np.int32)
-                flags[own + 1] = 1
-                upto = np.cumsum(flags)
-                for place in np.flatnonzero(self.least <= len(own)).tolist():
+            hit, gram, doc = hit[inside], gram[inside], doc[inside]
+            starts, places = self.owners[width]
+            for lo, hi in pairwise([0, *(np.flatnonzero(np.diff(doc)) + 1).tolist(), len(doc)]):
+                if hi - lo < self.least.min():
+                    continue
+                d = doc[lo]
+                n, base = int(first[d + 1] - first[d]), int(first[d])
+                many = starts[gram[lo:hi] + 1] - starts[gram[lo:hi]]
+                where = np.repeat(hit[lo:hi] - base, many)
+                ends = np.cumsum(many)
+                sizes = places[np.arange(ends[-1]) - np.repeat(ends - many - starts[gram[lo:hi]], many)]
+                for place in np.flatnonzero(np.bincount(sizes, minlength=len(self.order)) >= self.least).tolist():
                     size = self.order[place]
                     index = self.sizes[size]
                     if min(size, WIDTH) != width:
                         continue
+                    flags = np.zeros(n - width + 2, np.int32)
+                    flags[where[sizes == place] + 1] = 1
+                    upto = np.cumsum(flags)
                     m = min(size, n) - width + 1  # shingles of a window; a shorter text is one window
                     need = int(np.ceil(SIMILARITY / (1 + SIMILARITY) * (m + size - width + 1) - 1e-9))
                     if m < need:
                         continue
-                    starts = np.flatnonzero(upto[m:] - upto[:-m] >= need)
-                    if not len(starts):
+                    begins = np.flatnonzero(upto[m:] - upto[:-m] >= need)
+                    if not len(begins):
                         continue
-                    for run in np.split(starts, np.flatnonzero(np.diff(starts) > 4 * m) + 1):
+                    for run in np.split(begins, np.flatnonzero(np.diff(begins) > 4 * m) + 1):
                         for part in np.array_split(run, len(run) // 4096 + 1):
                             prints = window_fingerprints(hashes[base : base + n - width + 1], part, m)
                             for s, fp in zip(part.tolist(), prints.tolist(), strict=True):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python kernel holds at once; batches are cut to about this size.
-KERNEL_BYTES = 4 << 20
+KERNEL_BYTES = 2 << 20
 #: Bits of a filter that is broadcast before an exact join: as many as the keys ask for, within these bounds (8 KB and 8 MB).
 FILTER_BITS = (1 << 16, 1 << 26)
 

@@ -1,8 +1,8 @@
 """Connected components with DataFrame operations only (distributed union-find).
 
 Each round hooks every node onto its least neighbour, halves the pointer
-chains once, and contracts the edges onto the hooked nodes; edges inside one
-set vanish, so the edge table shrinks until it is empty.  Hubs are harmless:
+chains until they are flat, and contracts the edges onto their ends; edges inside
+one set vanish, so the edge table shrinks until it is empty.  Hubs are harmless:
 least neighbours are partial aggregates, and the joins that look pointers up
 have a written table on their other side, so that Spark can split hot keys.
 
@@ -29,11 +29,17 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
         first = stored(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("to")))
-        nxt = first.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        hook = stored(first.join(nxt, "to").select("node", F.col("next").alias("to")))
+        hook = first
+        while True:  # a chain of pointers halves each time, until all point to the end of theirs
+            nxt = hook.select(F.col("node").alias("to"), F.col("to").alias("next"))
+            jumped = stored(hook.select("node", "to").join(nxt, "to").select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+            discard(hook)
+            hook = jumped
+            if hook.where("moved").isEmpty():
+                break
         left, right = hook.select(F.col("node").alias("a"), F.col("to").alias("ra")), hook.select(F.col("node").alias("b"), F.col("to").alias("rb"))
         rest = stored(edges.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-        discard(edges, first)
+        discard(edges)
         edges = rest
         if found is None:
             found = hook.select("node", F.col("to").alias("root"))

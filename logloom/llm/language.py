@@ -143,7 +143,7 @@ def predict(documents: DataFrame, langs: list[str], prototypes: np.ndarray, extr
         for batch in batches:
             texts = batch.column(width).to_pylist()
             best, score = np.full(len(texts), -1), np.zeros(len(texts))
-            for s, e in slices([len(t or "") for t in texts], 1 << 20) if langs else ():
+            for s, e in slices([max(4096, len(t or "")) for t in texts], 1 << 20) if langs else ():
                 codes = [grams(t) for t in texts[s:e]]
                 flat = np.concatenate(codes)
                 if not len(flat):

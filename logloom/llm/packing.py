@@ -29,7 +29,8 @@ from .token_counts import byte_alphabet
 
 #: Fixed value of the public lower-case BPE: its pre-tokenizer pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
-CACHE_CHUNKS = 600_000
+#: Cached chunks and words per worker, and characters of the longest that is kept (bounds on memory, not on results).
+CACHE_CHUNKS, CACHE_LENGTH = 250_000, 64
 
 
 class ChunkEncoder:
@@ -58,7 +59,9 @@ class ChunkEncoder:
                 if len(cached) > CACHE_CHUNKS:
                     cached.clear()
                 tokens = self.tokenizer.model.tokenize("".join([self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")]))
-                known = cached[word] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+                known = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+                if len(word) <= CACHE_LENGTH:
+                    cached[word] = known
             out.append(known)
         return b"".join(out)
 
@@ -74,10 +77,15 @@ class ChunkEncoder:
         except KeyError:
             if len(chunks) > CACHE_CHUNKS:
                 chunks.clear()
+            out = []
             for w in words:
-                if w not in chunks:
-                    chunks[w] = self._chunk(w)
-            return b"".join(map(chunks.__getitem__, words))
+                known = chunks.get(w)
+                if known is None:
+                    known = self._chunk(w)
+                    if len(w) <= CACHE_LENGTH:
+                        chunks[w] = known
+                out.append(known)
+            return b"".join(out)
 
 
 #: What Python splits on but the tokenizer does not, and marks that may combine with what stands before.

@@ -13,6 +13,12 @@ def test_long_chain_and_hub(spark):
     assert [(r["root"], r["n"]) for r in out] == [(0, n + 1), (1000000, 20_001)]
 
 
+def test_chain_in_order(spark):
+    n = 100_000
+    out = components(spark.range(n - 1).selectExpr("id a", "id + 1 b"))
+    assert out.agg(F.count(F.lit(1)), F.max("root")).first()[:] == (n, 0)
+
+
 def test_odd_edges(spark):
     edges = spark.createDataFrame([(3, 2), (2, 3), (5, 5), (None, 1), (2, 9), (7, 8)], "a long, b long")
     assert sorted(map(tuple, components(edges).collect())) == [(2, 2), (3, 2), (7, 7), (8, 7), (9, 2)]

@@ -3,19 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder of ``spark.checkpoint.dir`` (a temporary one in local mode only)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only where that is unset a temporary one (local mode) or one beside the warehouse."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isEmpty():
         local = context.master.startswith("local[") or context.master == "local"
-        context.setCheckpointDir(shared or (tempfile.mkdtemp(prefix="checkpoints-") if local else df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+        known = context._jsc.sc().getCheckpointDir()
+    return known.get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage through Parquet in the shared folder.
+
+    A checkpoint would keep the size that was estimated for the plan behind it;
+    in loops of joins the digits of that estimate double each round.
+    """
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -29,16 +45,20 @@ def degrees(edges: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node_id, cluster_id``: cluster_id is the least node that can be reached.
 
-    Hooks each node onto its least neighbour and contracts, so the number of
-    rounds grows with the logarithm of the nodes, not with the diameter.
+    Hooks each node onto its least neighbour, follows the pointers by doubling,
+    and contracts, so the number of steps grows with logarithms, not with the
+    diameter.
     """
     left = written(edges.select("src", "dst").where("src <> dst").distinct())
     labels = nodes.select("node_id", F.col("node_id").alias("cluster_id"))
     while not left.isEmpty():
         both = left.selectExpr("src n", "dst o").unionByName(left.selectExpr("dst n", "src o"))
         hook = written(both.groupBy("n").agg(F.min("o").alias("o")).select("n", F.least("n", "o").alias("to")))
-        hook = written(hook.join(hook.selectExpr("n to", "to further"), "to").select("n", F.col("further").alias("to")))
-        labels = written(labels.join(hook.withColumnRenamed("n", "cluster_id"), "cluster_id", "left").select("node_id", F.coalesce("to", "cluster_id").alias("cluster_id")))
+        while True:  # a chain of pointers halves each time, until all point to the end of theirs
+            hook = written(hook.select("n", "to").join(hook.selectExpr("n to", "to further"), "to").selectExpr("n", "further to", "further <> to moved"))
+            if hook.where("moved").isEmpty():
+                break
+        labels = written(labels.join(hook.selectExpr("n cluster_id", "to"), "cluster_id", "left").select("node_id", F.coalesce("to", "cluster_id").alias("cluster_id")))
         a, b = hook.selectExpr("n src", "to a"), hook.selectExpr("n dst", "to b")
         left = written(left.join(a, "src").join(b, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
     return labels
@@ -144,13 +164,14 @@ def k_clique_clusters(nodes: DataFrame, edges: DataFrame, k: int, threshold: flo
     return nodes.join(members.join(least, "cluster_id").groupBy("n").agg(F.min("least").alias("least")).withColumnRenamed("n", "node_id"), "node_id", "left").select("node_id", F.coalesce("least", "node_id").alias("cluster_id"))
 
 
-def distances_from(edges: DataFrame, sources: DataFrame, rounds: int) -> DataFrame:
-    """``node_id, distance`` from the nearest source over 1 - weight, by rounds of relaxation (paths of at most ``rounds`` edges)."""
+def distances_from(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """``node_id, distance`` from the nearest source over 1 - weight, by relaxation until no distance falls."""
     both = written(symmetric(edges).select("node_id", "other", F.round(1 - F.col("weight"), 3).alias("step")))
-    best = sources.select("node_id", F.lit(0.0).alias("distance"))
-    for _ in range(rounds):
-        reached = best.join(both, "node_id").select(F.col("other").alias("node_id"), (F.col("distance") + F.col("step")).alias("distance"))
-        best = written(best.unionByName(reached).groupBy("node_id").agg(F.min("distance").alias("distance")))
+    best = front = written(sources.select("node_id", F.lit(0.0).alias("distance")))
+    while not front.isEmpty():
+        reached = front.join(both, "node_id").groupBy(F.col("other").alias("node_id")).agg(F.round(F.min(F.col("distance") + F.col("step")), 6).alias("reached"))
+        front = written(reached.join(best, "node_id", "left").where("distance is null or reached < distance").select("node_id", F.col("reached").alias("distance")))
+        best = written(best.unionByName(front).groupBy("node_id").agg(F.min("distance").alias("distance")))
     return best.select("node_id", F.round("distance", 3).alias("distance"))
 
 

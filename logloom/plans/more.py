@@ -75,15 +75,17 @@ def gra_15(s, d):
     return joined.groupBy(F.col("src").alias("node_id")).agg(F.max(F.greatest("a", "b")).alias("cluster_id"))
 
 
-_HOPS = "dg as (select n, count(*) c from sy group by 1), d0 as (select n node_id, 0.0::double d from dg where c = (select max(c) from dg))" + "".join(f", d{i + 1} as (select node_id, min(d) d from (select * from d{i} union all select sy.o, d{i}.d + round(1 - weight, 3) from d{i} join sy on sy.n = d{i}.node_id) group by 1)" for i in range(4))
+#: Edges of the longest path that the SQL follows; the query itself goes on until no distance falls.
+_LONGEST = 12
+_HOPS = "dg as (select n, count(*) c from sy group by 1), d0 as (select n node_id, 0.0::double d from dg where c = (select max(c) from dg))" + "".join(f", d{i + 1} as (select node_id, min(d) d from (select * from d{i} union all select sy.o, d{i}.d + round(1 - weight, 3) from d{i} join sy on sy.n = d{i}.node_id) group by 1)" for i in range(_LONGEST))
 
 
-@_graph_query("gra_18_path_distances", f"{_HOPS} select node_id, round(d, 3) as distance from d4")
+@_graph_query("gra_18_path_distances", f"{_HOPS} select node_id, round(d, 3) as distance from d{_LONGEST}")
 def gra_18(s, d):
     edges = graph.written(_edges(s, d))
     degrees = graph.written(graph.degrees(edges))
     centres = degrees.join(F.broadcast(degrees.agg(F.max("degree").alias("degree"))), "degree").select("node_id")
-    return graph.distances_from(edges, centres, 4)
+    return graph.distances_from(edges, centres)
 
 
 for _name, _kernel in (

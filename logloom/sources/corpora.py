@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: More lines than an array of a document can have, so that line ids never meet.
+LINES = 1 << 31
 #: Each corpus as its table, line id and raw line; ``{ts}`` stands for the formatted time stamp.
 PLAIN = {
     "part": ("part", "p_partkey", "concat_ws(' ', p_name, p_type, p_brand)"),
@@ -27,7 +29,7 @@ EVENT_LOGS["casper"] = EVENT_LOGS["syslog"]
 def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "doc":
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-        return docs.select(F.posexplode(F.split("text", "\n")).alias("pos", "raw"), "doc_id").select((F.col("doc_id") * 1000 + F.col("pos")).alias("line_id"), "raw")
+        return docs.select(F.posexplode(F.split("text", "\n")).alias("pos", "raw"), "doc_id").select((F.col("doc_id") * LINES + F.col("pos")).alias("line_id"), "raw")
     if name in PLAIN:
         table, line_id, raw = PLAIN[name]
         return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.expr(line_id).cast("long").alias("line_id"), F.expr(raw).alias("raw"))
@@ -38,7 +40,7 @@ def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def corpus_sql(name: str) -> str:
     """The same corpus as a DuckDB subquery."""
     if name == "doc":
-        return "(select doc_id*1000+u.i line_id, u.raw from (select doc_id, string_split(text, chr(10)) l from documents) d, lateral (select unnest(l) raw, unnest(range(len(l))) i) u)"
+        return f"(select doc_id*{LINES}+u.i line_id, u.raw from (select doc_id, string_split(text, chr(10)) l from documents) d, lateral (select unnest(l) raw, unnest(range(len(l))) i) u)"
     if name in PLAIN:
         table, line_id, raw = PLAIN[name]
         return f"(select cast({line_id} as bigint) line_id, {raw} raw from {table})"

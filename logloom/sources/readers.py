@@ -9,17 +9,23 @@ from pyspark.sql import functions as F
 
 
 def read_lines(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False, exclude: str | None = None) -> DataFrame:
-    """``file, line_id, raw``: lines numbered from 0 in the order of each file; a final empty line is no line."""
-    reader = spark.read.option("wholetext", True)
+    """``file, line_id, raw``: lines numbered from 0 in the order of each file; a final empty line is no line.
+
+    Large files are read in splits: a line's number is its place in the split
+    plus the lines of all earlier splits of the file.
+    """
+    reader = spark.read.option("lineSep", "\n")
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    files = reader.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    rows = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
     if exclude:
-        files = files.where(~F.col("file").endswith(exclude))
-    body = F.regexp_replace("value", r"\n\z", "")
-    return split_lines(files.where("value <> ''").select("file", body.alias("text")), "text", ["file"])
+        rows = rows.where(~F.col("file").endswith(exclude))
+    splits = rows.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.select("file", "start", (before - F.col("first")).alias("shift"))
+    return rows.join(offsets, ["file", "start"]).select("file", (F.col("at") + F.col("shift")).cast("int").alias("line_id"), "raw")
 
 
 def split_lines(table: DataFrame, text: str, keep: list[str]) -> DataFrame:

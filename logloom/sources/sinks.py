@@ -35,7 +35,7 @@ def dot_edges(edges: DataFrame) -> DataFrame:
 
 def graph_events(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Lines of a graph event stream: add-node and add-edge events as JSON."""
-    an = nodes.select(F.concat(F.lit('{"an":{"'), F.col("node_id").cast("string"), F.lit('":{"label":"'), "event", F.lit('"}}}')).alias("out"))
+    an = nodes.select(F.to_json(F.struct(F.create_map(F.col("node_id").cast("string"), F.struct(F.col("event").alias("label"))).alias("an"))).alias("out"))
     ae = edges.select(F.concat(F.lit('{"ae":{"'), "src", F.lit("-"), "dst", F.lit('":{"source":"'), "src", F.lit('","target":"'), "dst", F.lit('","directed":false}}}')).alias("out"))
     return an.unionByName(ae)
 

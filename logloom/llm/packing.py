@@ -30,7 +30,7 @@ from .token_counts import byte_alphabet
 #: Fixed value of the public lower-case BPE: its pre-tokenizer pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 #: Cached chunks and words per worker, and characters of the longest that is kept (bounds on memory, not on results).
-CACHE_CHUNKS, CACHE_LENGTH = 250_000, 64
+CACHE_CHUNKS, CACHE_WORDS, CACHE_LENGTH = 600_000, 200_000, 64
 
 
 class ChunkEncoder:
@@ -56,7 +56,7 @@ class ChunkEncoder:
         for word in (low,) if low.isalpha() and low.isascii() else self.pattern.findall(low):
             known = cached.get(word)
             if known is None:
-                if len(cached) > CACHE_CHUNKS:
+                if len(cached) > CACHE_WORDS:
                     cached.clear()
                 tokens = self.tokenizer.model.tokenize("".join([self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")]))
                 known = b"".join([t.id.to_bytes(4, "little") for t in tokens])

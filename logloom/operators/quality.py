@@ -59,6 +59,44 @@ def graph_dunn(edges: DataFrame, membership: DataFrame) -> DataFrame:
     return d.agg(F.round(sep / F.when(F.coalesce(comp, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(comp), 3).alias("value"))
 
 
+def pair_silhouette(pairs: DataFrame, membership: DataFrame) -> DataFrame:
+    """The silhouette over the pairs of texts that are stored (similarity above 0); 0 where there is no second cluster."""
+    several = membership.agg((F.min("cluster_id") < F.max("cluster_id")).alias("several"))
+    return graph_silhouette(pairs, membership).join(several).select(F.when(F.col("several"), F.col("value")).otherwise(0.0).alias("value"))
+
+
+def pair_dunn(pairs: DataFrame, membership: DataFrame) -> DataFrame:
+    """Dunn's index over the pairs of texts that are stored (similarity above 0)."""
+    return graph_dunn(pairs, membership)
+
+
+#: Internal indices by name, and whether they are computed from rows with texts or from edges and a membership.
+INTERNAL = {
+    "calinski_harabasz": (calinski_harabasz, False),
+    "davies_bouldin": (davies_bouldin, False),
+    "graph_silhouette": (graph_silhouette, True),
+    "graph_dunn": (graph_dunn, True),
+    "pair_silhouette": (pair_silhouette, True),
+    "pair_dunn": (pair_dunn, True),
+}
+
+
+def internal(metrics: list[str], rows: DataFrame | None = None, edges: DataFrame | None = None, membership: DataFrame | None = None) -> DataFrame:
+    """``metric, value`` of the chosen indices; an unknown name, no name, or a missing input is an error."""
+    unknown = sorted(set(metrics) - set(INTERNAL))
+    if unknown or not metrics:
+        raise ValueError(f"unknown metrics {unknown}; known: {sorted(INTERNAL)}")
+    out = None
+    for name in dict.fromkeys(metrics):
+        measure, on_graph = INTERNAL[name]
+        inputs = (edges, membership) if on_graph else (rows,)
+        if any(x is None for x in inputs):
+            raise ValueError(f"{name} needs {'edges and a membership' if on_graph else 'rows'}")
+        one = measure(*inputs).select(F.lit(name).alias("metric"), F.col("value").cast("double").alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def contingency(rows: DataFrame, truth: str, found: str) -> DataFrame:
     return rows.groupBy(F.col(truth).alias("t"), F.col(found).alias("p")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -225,3 +225,44 @@ def tok_16(s, d):
     rows = _orders(s, d)
     files = _table(s, d, "orders").select(F.col("o_orderkey").alias("line_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("file"))  # one file a day
     return rows.join(tk.initial_groups(rows, 4, 7), "line_id").join(files, "line_id").groupBy("file").applyInPandas(run, "line_id long, group_id int")
+
+
+_SP = f"{_MEM}, sp as (select src n, dst o, weight from sims where weight > 0 union all select dst, src, weight from sims where weight > 0), dd as (select n, o, a.cluster_id cn, b.cluster_id co, round(1 - weight, 3) d from sp join m a on a.node_id = n join m b on b.node_id = o)"
+_SIL = "t as (select n, cn, co, avg(d) d from dd group by 1, 2, 3), ab as (select n, coalesce(max(case when cn = co then d end), 0) a, coalesce(min(case when cn <> co and d <> 0 then d end), 0) b from t group by 1), z as (select cluster_id, count(*) size from m group by 1), s as (select m.cluster_id, case when size = 1 then 1 when greatest(a, b) is null or greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end s from m join z using (cluster_id) left join ab on ab.n = m.node_id), sil as (select case when (select count(*) from z) > 1 then round(avg(s), 3) else 0 end as value from (select cluster_id, avg(s) s from s group by 1))"
+_DUN = "dun as (select round(coalesce(min(case when cn <> co and d <> 0 then d end), 1) / (case when coalesce(max(case when cn = co then d end), 0) = 0 then 1 else max(case when cn = co then d end) end), 3) as value from dd)"
+
+
+@_graph_query("int_08_pair_silhouette", f"{_SP}, {_SIL} select value from sil")
+def int_08(s, d):
+    return quality.pair_silhouette(graph.written(_edges(s, d, 0.0)), _fives(s, d))
+
+
+@_graph_query("int_09_pair_dunn", f"{_SP}, {_DUN} select value from dun")
+def int_09(s, d):
+    return quality.pair_dunn(graph.written(_edges(s, d, 0.0)), _fives(s, d))
+
+
+@_graph_query("int_12_chosen_metrics", f"{_SP}, {_SIL}, {_DUN} select 'pair_silhouette' as metric, value from sil union all select 'pair_dunn', value from dun")
+def int_12(s, d):
+    return quality.internal(["pair_silhouette", "pair_dunn"], edges=graph.written(_edges(s, d, 0.0)), membership=_fives(s, d))
+
+
+@_graph_query("snk_09_node_distances", f"{_SP} select n as node_id, co as cluster_id, o as other, d as distance from dd")
+def snk_09(s, d):
+    from logloom.sources import sinks
+
+    return sinks.node_distances(_edges(s, d, 0.0), _fives(s, d))
+
+
+@query(
+    "ext_08_json_truth",
+    "with k as (select case o_orderstatus when 'F' then 'normal' when 'O' then 'attack' else 'other' end t, case when o_totalprice < 150000 then 'normal' else 'attack' end f from orders), c as (select count(*) filter (t = 'normal' and f = 'normal') tp, count(*) filter (t = 'normal' and f = 'attack') fn, count(*) filter (t = 'attack' and f = 'normal') fp, count(*) filter (t = 'attack' and f = 'attack') tn from k) select tp, fn, fp, tn, round(tn / (tn + fp), 6) as specificity, round(tp / (tp + fp), 6) as \"precision\", round(tp / (tp + fn), 6) as recall, round((tp + tn) / (tp + fp + fn + tn), 6) as accuracy from c",
+)
+def ext_08(s, d):
+    from logloom.sources import readers
+
+    orders = _table(s, d, "orders")
+    label = F.when(F.col("o_orderstatus") == "F", "normal").when(F.col("o_orderstatus") == "O", "attack").otherwise("other")
+    files = orders.select(F.lit(0).alias("line_id"), F.to_json(F.create_map(F.col("o_orderkey").cast("string"), label)).alias("json"))
+    found = orders.select(F.col("o_orderkey").cast("long").alias("line_id"), F.when(F.col("o_totalprice") < 150000, "normal").otherwise("attack").alias("found"))
+    return quality.confusion(readers.json_truth(files, "json").join(found, "line_id"), "label", "found")

@@ -44,6 +44,12 @@ def ground_truth(texts: DataFrame, json: str) -> DataFrame:
     return texts.select("line_id", F.explode(F.from_json(json, "map<string,string>")).alias("key", "value"))
 
 
+def json_truth(texts: DataFrame, json: str) -> DataFrame:
+    """``line_id, label`` from JSON objects that map line numbers to labels; keys that are no whole number are left out."""
+    entries = ground_truth(texts, json)
+    return entries.select(F.col("key").try_cast("long").alias("line_id"), F.col("value").alias("label")).where("line_id is not null")
+
+
 def tool_output(lines: DataFrame, order: str = "line_id", raw: str = "raw") -> DataFrame:
     """Templates and their supports from blocks that end in ``Support: n``."""
     ends = F.col(raw).startswith("Support:")

@@ -19,6 +19,13 @@ def per_cluster(lines: DataFrame, membership: DataFrame, with_id: bool = False)
     return joined.select("cluster_id", "line_id", text.alias("out"))
 
 
+def node_distances(pairs: DataFrame, membership: DataFrame) -> DataFrame:
+    """``node_id, cluster_id, other, distance``: the distances of each node to the nodes of each cluster, 1 - weight."""
+    both = pairs.selectExpr("src node_id", "dst other", "weight").unionByName(pairs.selectExpr("dst node_id", "src other", "weight"))
+    named = both.join(membership.selectExpr("node_id other", "cluster_id"), "other")
+    return named.select("node_id", "cluster_id", "other", F.round(1 - F.col("weight"), 3).alias("distance"))
+
+
 def anomaly_per_line(lines: DataFrame, membership: DataFrame, decisions: DataFrame) -> DataFrame:
     """``decision; raw`` for each line."""
     return lines.join(membership, "line_id").join(decisions, "cluster_id").select("line_id", F.concat_ws("; ", "decision", "raw").alias("out"))

@@ -205,12 +205,12 @@ def int_06(s, d):
     return quality.text_silhouette(graph.written(_edges(s, d, 0.0)), _fives(s, d))
 
 
-@query("abs_05_trailing_asterisks", "select p_partkey as line_id, 2 as n from part")
+@query("abs_05_trailing_asterisks", "select p_partkey as line_id, p_partkey % 4 as n from part")
 def abs_05(s, d):
     from logloom.operators import templates
 
     part = _table(s, d, "part")
-    return part.select(F.col("p_partkey").alias("line_id"), templates.trailing_asterisks(F.concat(F.col("p_type"), F.lit(" * end * *"))).alias("n"))
+    return part.select(F.col("p_partkey").alias("line_id"), templates.trailing_asterisks(F.concat(F.col("p_type"), F.lit(" * end"), F.expr("repeat(' *', cast(p_partkey % 4 as int))"))).alias("n"))
 
 
 @query("tok_16_local_search")
@@ -266,3 +266,15 @@ def ext_08(s, d):
     files = orders.select(F.lit(0).alias("line_id"), F.to_json(F.create_map(F.col("o_orderkey").cast("string"), label)).alias("json"))
     found = orders.select(F.col("o_orderkey").cast("long").alias("line_id"), F.when(F.col("o_totalprice") < 150000, "normal").otherwise("attack").alias("found"))
     return quality.confusion(readers.json_truth(files, "json").join(found, "line_id"), "label", "found")
+
+
+@query(
+    "snk_06_abstraction_per_line",
+    f"with {_BRAND}, p as (select cluster_id, len(string_split(event, ' ')) n_words, unnest(string_split(event, ' ')) w, unnest(range(len(string_split(event, ' ')))) i from c), q as (select cluster_id, n_words, i, case when min(w) = max(w) then min(w) else '*' end w from p group by 1, 2, 3), t as (select cluster_id, n_words, string_agg(w, ' ' order by i) template from q group by 1, 2) select line_id, case when replace(replace(template, '*', ''), ' ', '') <> '' then template end as abstraction from c join t on t.cluster_id = c.cluster_id and n_words = len(string_split(event, ' '))",
+)
+def snk_06(s, d):
+    from logloom.sources import sinks
+
+    sized = _brands(s, d).withColumn("n_words", F.size(F.split("event", " "))).withColumn("tokens", F.split("event", " "))
+    made = ev.positional_template(sized, ["cluster_id", "n_words"]).where(F.regexp_replace("template", r"[* ]", "") != "")
+    return sinks.abstraction_per_line(sized, made, ["cluster_id", "n_words"])

@@ -60,6 +60,11 @@ def tool_output(lines: DataFrame, order: str = "line_id", raw: str = "raw") -> D
     )
 
 
+def read_distances(spark: SparkSession, path: str) -> DataFrame:
+    """``node_id, cluster_id, other, distance`` from the CSV files that ``sinks.save_distances`` writes."""
+    return spark.read.schema("node_id long, cluster_id long, other long, distance double").csv(path, header=True)
+
+
 def read_config(path: str) -> dict[str, dict[str, str | list[str]]]:
     """Sections of an INI file; options over several lines become lists."""
     parser = configparser.ConfigParser(interpolation=None)

@@ -19,6 +19,11 @@ def per_cluster(lines: DataFrame, membership: DataFrame, with_id: bool = False)
     return joined.select("cluster_id", "line_id", text.alias("out"))
 
 
+def abstraction_per_line(lines: DataFrame, abstractions: DataFrame, keys: list[str]) -> DataFrame:
+    """``line_id, abstraction``: the template of each line's group; null for a line whose group has none."""
+    return lines.join(abstractions.select(*keys, F.col("template").alias("abstraction")), keys, "left").select("line_id", "abstraction")
+
+
 def node_distances(pairs: DataFrame, membership: DataFrame) -> DataFrame:
     """``node_id, cluster_id, other, distance``: the distances of each node to the nodes of each cluster, 1 - weight."""
     both = pairs.selectExpr("src node_id", "dst other", "weight").unionByName(pairs.selectExpr("dst node_id", "src other", "weight"))
@@ -61,3 +66,8 @@ def save(out: DataFrame, path: str, kind: str = "parquet", partitions: list[str]
     if kind == "csv":
         writer = writer.option("header", True)
     writer.format(kind).save(path)
+
+
+def save_distances(distances: DataFrame, path: str) -> None:
+    """Write ``node_distances`` as CSV files with a header."""
+    distances.select("node_id", "cluster_id", "other", "distance").write.mode("overwrite").csv(path, header=True)

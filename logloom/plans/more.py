@@ -269,12 +269,13 @@ def ext_08(s, d):
 
 
 @query(
-    "snk_06_abstraction_per_line",
-    f"with {_BRAND}, p as (select cluster_id, len(string_split(event, ' ')) n_words, unnest(string_split(event, ' ')) w, unnest(range(len(string_split(event, ' ')))) i from c), q as (select cluster_id, n_words, i, case when min(w) = max(w) then min(w) else '*' end w from p group by 1, 2, 3), t as (select cluster_id, n_words, string_agg(w, ' ' order by i) template from q group by 1, 2) select line_id, case when replace(replace(template, '*', ''), ' ', '') <> '' then template end as abstraction from c join t on t.cluster_id = c.cluster_id and n_words = len(string_split(event, ' '))",
+    "snk_06_abstraction_per_line",  # even lines are grouped by their last word, odd ones by nothing but their length
+    f"with {_BRAND}, g as (select line_id, string_split(event, ' ') l, len(string_split(event, ' ')) n_words, case when line_id % 2 = 0 then string_split(event, ' ')[-1] else '' end grp from c), p as (select grp, n_words, unnest(l) w, unnest(range(len(l))) i from g), q as (select grp, n_words, i, case when min(w) = max(w) then min(w) else '*' end w from p group by 1, 2, 3), t as (select grp, n_words, string_agg(w, ' ' order by i) template from q group by 1, 2) select line_id, case when replace(replace(template, '*', ''), ' ', '') <> '' then template end as abstraction from g join t using (grp, n_words)",
 )
 def snk_06(s, d):
     from logloom.sources import sinks
 
-    sized = _brands(s, d).withColumn("n_words", F.size(F.split("event", " "))).withColumn("tokens", F.split("event", " "))
-    made = ev.positional_template(sized, ["cluster_id", "n_words"]).where(F.regexp_replace("template", r"[* ]", "") != "")
-    return sinks.abstraction_per_line(sized, made, ["cluster_id", "n_words"])
+    rows = _brands(s, d).withColumn("tokens", F.split("event", " "))
+    sized = rows.withColumn("n_words", F.size("tokens")).withColumn("grp", F.when(F.col("line_id") % 2 == 0, F.element_at("tokens", -1)).otherwise(""))
+    made = ev.positional_template(sized, ["grp", "n_words"]).where(F.regexp_replace("template", r"[* ]", "") != "")
+    return sinks.abstraction_per_line(sized, made, ["grp", "n_words"])

@@ -1,24 +1,30 @@
 """Fuzzy line dedup by MinHash, DataFrame operations only.
 
 Lines are verified by the exact Jaccard similarity of all their character
-shingles, and signed by the part of the same shingles that begins at words, one
-in six or so.  Lines that are short or have few words are signed by all their
-shingles (those of both kinds that can be like one another have both).  The
-space of hashes is cut into ranges, and the least hashes from the beginning of a
-range on are one band: every shingle is hashed once, and two lines agree on a
-band about as often as they would on that many independent minima.
-
-In a bucket every line is compared with the one that meets most others, as the
-original of many copies does.  Buckets that then still hold several components
-have rounds of a further line each, chosen by a hash, as long as rounds find
-like lines.  So a group of copies costs as many comparisons as it has lines, and
-no bucket is crossed with itself.  Distributed union-find keeps one line of each
-component.
+shingles and signed by the same shingles.  The hashes of a line are sorted; a
+band is ``BAND`` hashes that follow one another, and like lines share one:
+
+* A line of fewer than ``LEAST`` shingles and one that is like it share one of the
+  least fifth of their hashes (and one more); each of these is a band.
+* Below ``EVERY`` shingles a band begins at every hash.  Like lines that differ in
+  ``d`` hashes share at least ``4 d``, so somewhere in the order of both at least
+  ``BAND`` shared ones follow one another.
+* Other lines have a band at the beginning of each of ``RANGES`` ranges of hashes,
+  so every shingle is hashed once.  At a similarity of just 0.8 each is shared
+  with probability 0.8 ** 3, and all are missed with less than 0.49 ** 32, or
+  1.1e-10; the nearer two lines, the less.
+
+Every two lines of a bucket are compared unless their sizes rule likeness out or
+they are in one component already.  First all lines meet the one that meets most
+others, as the original of many copies does; then buckets that hold several
+components have rounds of a further line each, as long as rounds find like
+lines; in what is left then, crowded buckets are dealt into chunks that all
+meet.  Distributed union-find keeps one line of each component.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bit_filter, discard, may_match, stored
@@ -26,28 +32,19 @@ from .components import components
 
 #: Characters in a shingle, least Jaccard similarity, and that as a ratio of whole numbers.
 SHINGLE, SIMILARITY, RATIO = 8, 0.8, (4, 5)
-#: Ranges of hashes; hashes of a band by how many there are at least, a scheme also reaching so many times into the next.
-RANGES, SCHEMES, REACH = 8, ((1, 2), (16, 3), (32, 4)), 1.4
-#: Lines below so many characters, or of fewer words than one in so many characters, are signed by all shingles too.
-SHORT, SPARSE = 48, 16
-#: Rounds of further comparisons go on while this share of a round's pairs is alike.
-YIELD = 0.01
+#: Ranges of hashes, hashes in a band, shingles of lines with bands of a single hash and with a band at every hash (both below).
+RANGES, BAND, LEAST, EVERY = 32, 3, 16, 64
+#: Rounds of a further line each go on while this share of a round's pairs is alike; then buckets are crossed, by chunks of so many lines.
+YIELD, CHUNK = 0.01, 256
 BLANK = " \t\n\x0b\x0c\r"
 
 
-def shingles(line: Column) -> Column:
-    """Shingles of a line (with repeats); a line that is shorter is one shingle."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}|^.{{0,{SHINGLE - 1}}}$))"), F.lit(1))
-
-
 def shingle_set(line: Column) -> Column:
-    """Hashes of the distinct shingles."""
-    return F.array_distinct(F.transform(shingles(line), lambda x: F.xxhash64(x)))
-
-
-def word_shingles(line: Column) -> Column:
-    """Shingles that begin at words (with repeats)."""
-    return F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(rf"(?s) (?=([^ ].{{{SHINGLE - 1}}}))"), F.lit(1))
+    """Hashes of the distinct shingles; a line that is shorter is one shingle."""
+    wide = 4 * SHINGLE  # four bytes a character, so that a place is found without counting
+    places = lambda t: F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(t) - (wide - 1)), F.lit(4))
+    of = lambda t: F.transform(places(t), lambda i: F.xxhash64(F.substring(t, i, F.lit(wide))))
+    return F.array_distinct(F.element_at(F.transform(F.array(F.encode(line, "UTF-32")), of), 1))
 
 
 def filled(line: Column) -> Column:
@@ -76,54 +73,32 @@ def _held(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
 
 
 def bands(lines: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and ``bands``, an array of hashes, of each ``line``."""
+    """``keep``, ``n`` (distinct shingles) and ``bands``, an array of hashes, of each ``line``."""
     up, down = RATIO
-    line, size = F.col("line"), F.length("line")
-    words = F.sort_array(F.array_distinct(F.transform(word_shingles(line), lambda x: F.xxhash64(x))))
-    found = _held(lines, [*keep, "line"], w=words)
-    few = (F.size("w") < 3) | (size < SHORT) | (SPARSE * F.size("w") < size)
-    found = _held(found, keep, w=F.when(F.size("w") >= 3, F.col("w")), g=F.when(few, F.sort_array(shingle_set(line))))
-    # Two like sets, one of fewer than 16 shingles, share one of the least of both.
-    reach = SCHEMES[1][0] * down // up - 1
-    least = F.when(F.size("g") <= reach, F.slice("g", F.lit(1), F.floor(F.size("g") * (down - up) / down).cast("int") + 1))
-    found = _held(found, keep, t=F.transform(least, lambda x: F.xxhash64(x)), w=F.col("w"), g=F.when(F.size("g") >= SCHEMES[1][0], F.col("g")))
-    marks = [j * (1 << 64) // RANGES - (1 << 63) for j in range(1, RANGES)]
-
-    def places(own: str) -> Column:
-        """Where the ranges begin among the hashes."""
-        marked = F.sort_array(F.concat(F.col(own), F.array(*[F.lit(m).cast("long") for m in marks])))
-        return F.when(F.col(own).isNotNull(), F.struct(marked.alias("m")))
-
-    def hashes(own: str, reach: float) -> Column:
-        """Hashes in a band of a set of this size; ``reach``: in the scheme below, for sets that reach into the next."""
-        out, least = F.lit(None).cast("int"), F.size(own)
-        for k, (low, n) in enumerate(SCHEMES):
-            if reach == 1:
-                out = F.when(least >= low, n).otherwise(out)
-            elif k:
-                out = F.when((least >= low) & (least < low * reach), SCHEMES[k - 1][1]).otherwise(out)
-        return out
-
-    found = _held(found, keep, t=F.col("t"), **{k: F.col(k) for k in "wg"}, **{f"{k}m": places(k) for k in "wg"})
-    at = {f"{k}p": F.when(F.col(k).isNotNull(), F.array(F.lit(1), *[F.array_position(F.col(f"{k}m.m"), F.lit(m).cast("long")).cast("int") - j for j, m in enumerate(marks)])) for k in "wg"}
-    number = {f"{k}{i}": hashes(k, reach) for k in "wg" for i, reach in enumerate((1, REACH))}
-    found = _held(found, keep, t=F.col("t"), **{k: F.col(k) for k in "wg"}, **at, **number)
-
-    def runs(kind: str, i: int) -> Column:
-        """What follows the beginning of each range; an empty range goes on into the next, and near the end there are too few."""
-        own, n = F.col(kind), F.col(f"{kind}{i}")
-        full = F.filter(f"{kind}p", lambda p: p + n <= F.size(own) + 1)
-        return F.when(n.isNotNull(), F.transform(full, lambda p: F.xxhash64(n, F.lit(kind), F.slice(own, p, n))))
-
+    found = _held(lines, keep, g=F.sort_array(shingle_set(F.col("line"))))
+    marks = [F.lit(j * (1 << 64) // RANGES - (1 << 63)).cast("long") for j in range(1, RANGES)]
+    found = _held(found, [*keep, "g"], n=F.size("g"), m=F.when(F.size("g") >= EVERY, F.sort_array(F.concat("g", F.array(*marks)))))
+    # A place holds one hash of at most one mark, and that of a mark comes after the marks below it.
+    begins = F.array(F.lit(1), *[F.array_position("m", m).cast("int") - j for j, m in enumerate(marks)])
+    begins = F.when(F.col("m").isNull(), F.sequence(F.lit(1), F.greatest("n", F.lit(1)))).otherwise(F.array_distinct(begins))
+    found = _held(found, [*keep, "g", "n"], p=F.when(F.col("n") >= LEAST, F.filter(begins, lambda p: p + BAND - 1 <= F.col("n"))))
+    # Two like sets, one of fewer than LEAST shingles, share one of the least of both.
+    least = F.when(F.col("n") <= LEAST * down // up - 1, F.slice("g", F.lit(1), F.floor(F.col("n") * (down - up) / down).cast("int") + 1))
+    runs = F.transform("p", lambda p: F.xxhash64(*[F.get("g", p - 1 + i) for i in range(BAND)]))
     none = F.array().cast("array<long>")
-    parts = [F.coalesce(c, none) for c in (F.col("t"), *[runs(kind, i) for kind in "wg" for i in (0, 1)])]
-    return found.select(*keep, F.array_distinct(F.concat(*parts)).alias("bands"))
+    return found.select(*keep, "n", F.concat(F.coalesce(F.transform(least, lambda x: F.xxhash64(x)), none), F.coalesce(runs, none)).alias("bands"))
+
+
+def _can_be(na: str, nb: str) -> Column:
+    """Whether sets of these sizes can be like one another."""
+    up, down = RATIO
+    return down * F.least(na, nb) >= up * F.greatest(na, nb)
 
 
 def like(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``a, b`` of lines whose exact Jaccard similarity is at least ``SIMILARITY``."""
     up, down = RATIO
-    left, right = texts.select(F.col("lid").alias("a"), F.col("line").alias("la")), texts.select(F.col("lid").alias("b"), F.col("line").alias("lb"))
+    left, right = texts.select(F.col("k").alias("a"), F.col("line").alias("la")), texts.select(F.col("k").alias("b"), F.col("line").alias("lb"))
     met = pairs.select("a", "b").join(left, "a").join(right, "b")
     sets = _held(met, ["a", "b"], sa=shingle_set(F.col("la")), sb=shingle_set(F.col("lb")))
     sized = _held(sets, ["a", "b"], shared=F.size(F.array_intersect("sa", "sb")), total=F.size("sa") + F.size("sb"))
@@ -135,61 +110,82 @@ def line_classes(documents: DataFrame, text: str = "text", key: str = "doc_id")
 
     ``lid`` and ``lid2`` are hashes of a line.  Of texts that share a ``lid``
     only one takes part in comparisons; the other ``lid2`` keep them apart.
+    In the graph a line is its number ``k``.
     """
     both = {"lid": F.xxhash64("line"), "lid2": F.xxhash64(F.lit(1), "line")}
     found = occurrences(documents, text, key)
-    names = ["id", "id2", "key", "pos", *both]
-    lines = stored(bands(found.withColumns(both), names))
-    banded = lines.select("lid", F.explode("bands").alias("band"))
-    shared = stored(banded.groupBy("band").agg(F.min("lid").alias("low"), F.max("lid").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high"))
-    crowded = shared.where("n > 2").select("band", "n")
-    buckets = stored(may_match(banded, "band", bit_filter(crowded, "band")).join(crowded, "band").distinct())
+    lines = stored(found.withColumns(both).select("id", "id2", "key", "pos", *both))
+    distinct = found.select(*[c.alias(name) for name, c in both.items()], "line").groupBy("lid").agg(F.first(F.struct("lid2", "line")).alias("one"))
+    texts = stored(distinct.select(F.monotonically_increasing_id().alias("k"), "lid", "one.lid2", "one.line"))
+    banded = bands(texts, ["k"]).select("k", "n", F.explode("bands").alias("band"))
+    met = F.count(F.lit(1)).over(Window.partitionBy("band"))
+    buckets = stored(banded.select("band", "k", "n", met.alias("met")).where("met > 1"))
     # The first line of a bucket is the one that meets most lines in all its buckets, as the original of many copies does.
-    met = stored(buckets.groupBy("lid").agg(F.sum("n").alias("met")))
-    firsts = stored(buckets.join(met, "lid").groupBy("band").agg(F.max(F.struct("met", "lid")).alias("first")).select("band", F.col("first.lid").alias("first")))
-    rays = buckets.join(firsts, "band").where("lid <> first").selectExpr("least(first, lid) a", "greatest(first, lid) b")
-    stars = stored(shared.where("n = 2").selectExpr("low a", "high b").unionByName(rays).distinct())
-    wanted = bit_filter(stars.selectExpr("a lid").unionByName(stars.selectExpr("b lid")).distinct(), "lid")
-    texts = stored(may_match(found.select(*[c.alias(name) for name, c in both.items()], "line"), "lid", wanted).groupBy("lid").agg(F.first(F.struct("lid2", "line")).alias("one")).select("lid", "one.lid2", "one.line"))
-    edges = stored(like(stars, texts))
-    discard(shared, met)
+    most = stored(buckets.groupBy("k").agg(F.sum("met").alias("most")))
+    firsts = stored(buckets.join(most, "k").groupBy("band").agg(F.max(F.struct("most", "k", "n")).alias("f")).selectExpr("band", "f.k first", "f.n nf"))
+    others = buckets.select("band", "k", "n").join(firsts, "band").where("k <> first")
+    seen = stored(others.where(_can_be("n", "nf")).selectExpr("least(first, k) a", "greatest(first, k) b").distinct())
+    edges = stored(like(seen, texts))
     roots = components(edges)
-    turn, seen, found_like = 0, stars, 1.0
-    open_ = _open(buckets.join(firsts, "band").where("lid <> first").select("band", "lid"), roots)
+    open_ = _open(others.select("band", "k", "n"), roots)
+    discard(buckets, most, firsts)
+    turn, found_like = 0, 1.0
     while found_like >= YIELD and not open_.isEmpty():
         turn += 1
-        firsts = stored(open_.groupBy("band").agg(F.min(F.struct(F.xxhash64("lid", F.lit(turn)).alias("h"), "lid", "root")).alias("f")).select("band", F.col("f.lid").alias("first"), F.col("f.root").alias("rf")))
-        others = stored(open_.join(firsts, "band").where("lid <> first"))
-        pairs = stored(others.where("root <> rf").selectExpr("least(first, lid) a", "greatest(first, lid) b").distinct().join(seen, ["a", "b"], "left_anti"))
+        firsts = stored(open_.groupBy("band").agg(F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), "k", "n", "root")).alias("f")).selectExpr("band", "f.k first", "f.n nf", "f.root rf"))
+        others = stored(open_.join(firsts, "band").where("k <> first"))
+        discard(open_, firsts)
+        pairs = stored(others.where("root <> rf").where(_can_be("n", "nf")).selectExpr("least(first, k) a", "greatest(first, k) b").distinct().join(seen, ["a", "b"], "left_anti"))
         more = stored(like(pairs, texts))
         found_like = more.count() / max(1, pairs.count())
         seen, edges = seen.unionByName(pairs), edges.unionByName(more)
         if found_like:
             roots = components(edges)
-        open_ = _open(others.select("band", "lid"), roots)
-    return lines.select(*names), texts.select("lid", "lid2").join(roots.select(F.col("node").alias("lid"), "root"), "lid")
+        open_ = _open(others.select("band", "k", "n"), roots)
+        discard(others)
+    if not open_.isEmpty():
+        pairs = stored(_crossed(open_).join(seen, ["a", "b"], "left_anti"))
+        more = stored(like(pairs, texts))
+        if not more.isEmpty():
+            roots = components(edges.unionByName(more))
+        discard(pairs)
+    classes = stored(texts.select("k", "lid", "lid2").join(roots.select(F.col("node").alias("k"), "root"), "k").select("lid", "lid2", "root"))
+    discard(open_, texts)
+    return lines, classes
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """``band, lid, root`` of the members of buckets that hold several components."""
-    named = stored(members.join(roots.withColumnRenamed("node", "lid"), "lid", "left").select("band", "lid", F.coalesce("root", "lid").alias("root")))
+    """``band, k, n, root`` of the members of buckets that hold several components."""
+    named = stored(members.join(roots.withColumnRenamed("node", "k"), "k", "left").select("band", "k", "n", F.coalesce("root", "k").alias("root")))
     mixed = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
     out = stored(named.join(mixed, "band", "left_semi"))
     discard(named)
     return out
 
 
+def _crossed(members: DataFrame) -> DataFrame:
+    """All pairs ``a, b`` of a bucket that are in two components and whose sizes let them be alike; no task gets more than two chunks at once."""
+    sized = members.join(members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), "band")
+    dealt = sized.withColumn("x", F.pmod(F.xxhash64("k"), F.col("chunks")).cast("int"))
+    left = dealt.select("band", F.col("x").alias("u"), F.explode(F.sequence("x", F.col("chunks") - 1)).alias("v"), F.col("k").alias("ka"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    right = dealt.select("band", F.explode(F.sequence(F.lit(0), "x")).alias("u"), F.col("x").alias("v"), F.col("k").alias("kb"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    met = left.join(right, ["band", "u", "v"]).where("ra <> rb and (u < v or ka < kb)").where(_can_be("na", "nb"))
+    return met.selectExpr("least(ka, kb) a", "greatest(ka, kb) b").distinct()
+
+
 def removals(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``id, id2, gone``: the places of the lines that go, for every row that loses one."""
+    """Written table ``id, id2, gone``: the places of the lines that go, for every row that loses one."""
     lines, classes = line_classes(documents, text, key)
     place = F.struct(F.col("key").isNull().alias("k"), "key", "id", "id2", "pos")
     per_line = lines.groupBy("lid", "lid2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     root, own = F.coalesce("root", "lid").alias("root"), F.when(F.col("root").isNull(), F.col("lid2")).otherwise(0).alias("own")
     rooted = stored(per_line.join(classes, ["lid", "lid2"], "left").where("n > 1 or root is not null").select("lid", "lid2", "first", root, own))
-    kept = rooted.groupBy("root", "own").agg(F.min("first").alias("first"))
-    keeper = stored(rooted.select("lid", "lid2", "root", "own").join(stored(kept), ["root", "own"]).select("lid", "lid2", F.col("first.id").alias("kid"), F.col("first.id2").alias("kid2"), F.col("first.pos").alias("kpos")))
+    kept = stored(rooted.groupBy("root", "own").agg(F.min("first").alias("first")))
+    keeper = stored(rooted.select("lid", "lid2", "root", "own").join(kept, ["root", "own"]).select("lid", "lid2", F.col("first.id").alias("kid"), F.col("first.id2").alias("kid2"), F.col("first.pos").alias("kpos")))
     marked = may_match(lines.select("id", "id2", "pos", "lid", "lid2"), "lid", bit_filter(keeper, "lid")).join(keeper, ["lid", "lid2"])
-    return marked.where("id <> kid or id2 <> kid2 or pos <> kpos").groupBy("id", "id2").agg(F.collect_set("pos").alias("gone"))
+    gone = stored(marked.where("id <> kid or id2 <> kid2 or pos <> kpos").groupBy("id", "id2").agg(F.collect_set("pos").alias("gone")))
+    discard(lines, classes, rooted, kept, keeper)
+    return gone
 
 
 def dedup_lines(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -201,7 +197,7 @@ def dedup_lines(documents: DataFrame, text: str = "text", key: str = "doc_id") -
     text stays null with 0 lines; an empty table gives no rows; existing columns
     named ``n_lines`` or ``n_removed`` are replaced, all others may have any name.
     """
-    gone = stored(removals(documents, text, key))
+    gone = removals(documents, text, key)
     names = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
     one, two = row_id(documents, text, key)
     # The columns travel in one struct, so that their names cannot clash with those of the join.

@@ -20,9 +20,11 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import json
+import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -243,19 +245,45 @@ def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
                     i += 1
                 else:
                     j += 1
-        else:  # very wide lists: the first place of each key, in order
-            first: dict[str, int] = {}
-            for j, key in enumerate(inner_b):
-                first.setdefault(key, j)
-            low = 0
-            for i, key in enumerate(inner_a):
-                j = first.get(key, -1)
-                if j >= low:
-                    out.append((start + i, start + j))
-                    low = j + 1
+        else:
+            out += [(start + i, start + j) for i, j in _wide_matches(inner_a, inner_b)]
     return out + [(len(a) - ends + k, len(b) - ends + k) for k in range(ends)]
 
 
+def _wide_matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """The same pairs for wide lists: rows of the table as arrays; one in ``step`` is kept, the others are made again on the way."""
+    number: dict[str, int] = {}
+    x, y = (np.array([number.setdefault(key, len(number)) for key in keys], np.int32) for keys in (a, b))
+    n, m = len(x), len(y)
+    step = math.isqrt(n) + 1
+
+    def above(i: int, below: np.ndarray) -> np.ndarray:
+        row = np.append(np.where(y == x[i], below[1:] + 1, below[:-1]), np.int32(0))
+        return np.maximum.accumulate(row[::-1])[::-1]
+
+    row = np.zeros(m + 1, np.int32)
+    kept = {n: row}
+    for i in range(n - 1, -1, -1):
+        row = above(i, row)
+        if i % step == 0:
+            kept[i] = row
+    out, i, j, rows = [], 0, 0, {}
+    while i < n and j < m:
+        if i + 1 not in rows:
+            end = min(n, (i // step + 1) * step)
+            rows = {end: kept[end]}
+            for k in range(end - 1, i - 1, -1):
+                rows[k] = above(k, rows[k + 1])
+        if x[i] == y[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif rows[i + 1][j] >= rows[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def _aligned(a: list[list], b: list[list], same_page: bool) -> list[list]:
     """Merge two lists of items; what only one has stays, with fewer pages than its parent (optional)."""
     out, i, j = [], 0, 0

@@ -11,8 +11,8 @@ band is ``BAND`` hashes that follow one another, and like lines share one:
   ``BAND`` shared ones follow one another.
 * Other lines have a band at the beginning of each of ``RANGES`` ranges of hashes,
   so every shingle is hashed once.  At a similarity of just 0.8 each is shared
-  with probability 0.8 ** 3, and all are missed with less than 0.49 ** 32, or
-  1.1e-10; the nearer two lines, the less.
+  with probability 0.8 ** 3 or so, and all are missed with about 0.49 ** 32, or
+  1e-10, were they independent; the nearer two lines, the less.
 
 Every two lines of a bucket are compared unless their sizes rule likeness out or
 they are in one component already.  First all lines meet the one that meets most

@@ -19,15 +19,21 @@ they are in one component already.  First all lines meet the one that meets most
 others, as the original of many copies does; then buckets that hold several
 components have rounds of a further line each, as long as rounds find like
 lines; in what is left then, crowded buckets are dealt into chunks that all
-meet.  Distributed union-find keeps one line of each component.
+meet.  There sketches come before texts: in a sketch every shingle turns over
+one bit, so two differ in no more bits than shingles that only one line has,
+and pairs beyond what a similarity of 0.8 allows go without a loss.
+Distributed union-find keeps one line of each component.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_filter, discard, may_match, stored
+from .common import bit_filter, discard, may_match, release, stored
 from .components import components
 
 #: Characters in a shingle, least Jaccard similarity, and that as a ratio of whole numbers.
@@ -36,6 +42,8 @@ SHINGLE, SIMILARITY, RATIO = 8, 0.8, (4, 5)
 RANGES, BAND, LEAST, EVERY = 32, 3, 16, 64
 #: Rounds of a further line each go on while this share of a round's pairs is alike; then buckets are crossed, by chunks of so many lines.
 YIELD, CHUNK = 0.01, 256
+#: Words of 64 bits in a sketch.
+WORDS = 16
 BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -73,20 +81,28 @@ def _held(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
 
 
 def bands(lines: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep``, ``n`` (distinct shingles) and ``bands``, an array of hashes, of each ``line``."""
+    """``keep``, ``n`` (distinct shingles) and ``band``, a hash, for each band of each ``line``."""
     up, down = RATIO
+    shift = 65 - RANGES.bit_length()
+    mark = lambda j: F.shiftleft(F.lit(j).cast("long") if isinstance(j, int) else j.cast("long"), shift).bitwiseXOR(F.lit(-(1 << 63)))
     found = _held(lines, keep, g=F.sort_array(shingle_set(F.col("line"))))
-    marks = [F.lit(j * (1 << 64) // RANGES - (1 << 63)).cast("long") for j in range(1, RANGES)]
-    found = _held(found, [*keep, "g"], n=F.size("g"), m=F.when(F.size("g") >= EVERY, F.sort_array(F.concat("g", F.array(*marks)))))
-    # A place holds one hash of at most one mark, and that of a mark comes after the marks below it.
-    begins = F.array(F.lit(1), *[F.array_position("m", m).cast("int") - j for j, m in enumerate(marks)])
-    begins = F.when(F.col("m").isNull(), F.sequence(F.lit(1), F.greatest("n", F.lit(1)))).otherwise(F.array_distinct(begins))
-    found = _held(found, [*keep, "g", "n"], p=F.when(F.col("n") >= LEAST, F.filter(begins, lambda p: p + BAND - 1 <= F.col("n"))))
+    marks = F.array(*[mark(j) for j in range(RANGES)])
+    found = _held(found, [*keep, "g"], n=F.size("g"), m=F.when(F.size("g") >= EVERY, F.sort_array(F.concat("g", marks))))
+    # Of short lines the places from 1 on, and below 0 those of single hashes; of others the numbers of ranges from 0 on.
     # Two like sets, one of fewer than LEAST shingles, share one of the least of both.
-    least = F.when(F.col("n") <= LEAST * down // up - 1, F.slice("g", F.lit(1), F.floor(F.col("n") * (down - up) / down).cast("int") + 1))
-    runs = F.transform("p", lambda p: F.xxhash64(*[F.get("g", p - 1 + i) for i in range(BAND)]))
-    none = F.array().cast("array<long>")
-    return found.select(*keep, "n", F.concat(F.coalesce(F.transform(least, lambda x: F.xxhash64(x)), none), F.coalesce(runs, none)).alias("bands"))
+    least = F.when(F.col("n") <= LEAST * down // up - 1, F.sequence(F.lit(-1), -F.floor(F.col("n") * (down - up) / down).cast("int") - 1, F.lit(-1)))
+    runs = F.when(F.col("n") >= LEAST, F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - (BAND - 1))))
+    none = F.array().cast("array<int>")
+    places = F.when(F.col("m").isNull(), F.concat(F.coalesce(least, none), F.coalesce(runs, none))).otherwise(F.sequence(F.lit(0), F.lit(RANGES - 1)))
+    # One row for each place before it is looked up: generated code scans arrays much faster than functions of elements do.
+    spread = found.select(*keep, "g", "n", "m", F.explode(places).alias("j"))
+    begin = F.when(F.col("m").isNull(), F.col("j")).otherwise(F.array_position("m", mark(F.col("j"))).cast("int") - F.col("j"))
+    spread = _held(spread, [*keep, "g", "n", "m", "j"], p=begin)
+    run = F.xxhash64(*[F.get("g", F.col("p") - 1 + i) for i in range(BAND)])
+    # A range without a hash has no band of its own: its beginning is that of the next one.
+    own = F.col("m").isNull() | (F.shiftrightunsigned(F.get("g", F.col("p") - 1).bitwiseXOR(F.lit(-(1 << 63))), shift) == F.col("j"))
+    band = F.when(F.col("p") < 0, F.xxhash64(F.get("g", -F.col("p") - 1))).when((F.col("p") + BAND - 1 <= F.col("n")) & own, run)
+    return _held(spread, [*keep, "n"], band=band).where("band is not null")
 
 
 def _can_be(na: str, nb: str) -> Column:
@@ -117,9 +133,11 @@ def line_classes(documents: DataFrame, text: str = "text", key: str = "doc_id")
     lines = stored(found.withColumns(both).select("id", "id2", "key", "pos", *both))
     distinct = found.select(*[c.alias(name) for name, c in both.items()], "line").groupBy("lid").agg(F.first(F.struct("lid2", "line")).alias("one"))
     texts = stored(distinct.select(F.monotonically_increasing_id().alias("k"), "lid", "one.lid2", "one.line"))
-    banded = bands(texts, ["k"]).select("k", "n", F.explode("bands").alias("band"))
+    release(documents.sparkSession)
+    banded = bands(texts, ["k"])
     met = F.count(F.lit(1)).over(Window.partitionBy("band"))
     buckets = stored(banded.select("band", "k", "n", met.alias("met")).where("met > 1"))
+    release(documents.sparkSession)
     # The first line of a bucket is the one that meets most lines in all its buckets, as the original of many copies does.
     most = stored(buckets.groupBy("k").agg(F.sum("met").alias("most")))
     firsts = stored(buckets.join(most, "k").groupBy("band").agg(F.max(F.struct("most", "k", "n")).alias("f")).selectExpr("band", "f.k first", "f.n nf"))
@@ -144,7 +162,9 @@ def line_classes(documents: DataFrame, text: str = "text", key: str = "doc_id")
         open_ = _open(others.select("band", "k", "n"), roots)
         discard(others)
     if not open_.isEmpty():
-        pairs = stored(_crossed(open_).join(seen, ["a", "b"], "left_anti"))
+        crossed = _crossed(open_, texts)
+        pairs = stored(crossed.join(seen, ["a", "b"], "left_anti"))
+        discard(crossed)
         more = stored(like(pairs, texts))
         if not more.isEmpty():
             roots = components(edges.unionByName(more))
@@ -163,14 +183,33 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     return out
 
 
-def _crossed(members: DataFrame) -> DataFrame:
-    """All pairs ``a, b`` of a bucket that are in two components and whose sizes let them be alike; no task gets more than two chunks at once."""
-    sized = members.join(members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), "band")
-    dealt = sized.withColumn("x", F.pmod(F.xxhash64("k"), F.col("chunks")).cast("int"))
-    left = dealt.select("band", F.col("x").alias("u"), F.explode(F.sequence("x", F.col("chunks") - 1)).alias("v"), F.col("k").alias("ka"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = dealt.select("band", F.explode(F.sequence(F.lit(0), "x")).alias("u"), F.col("x").alias("v"), F.col("k").alias("kb"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    met = left.join(right, ["band", "u", "v"]).where("ra <> rb and (u < v or ka < kb)").where(_can_be("na", "nb"))
-    return met.selectExpr("least(ka, kb) a", "greatest(ka, kb) b").distinct()
+def sketches(texts: DataFrame) -> DataFrame:
+    """``k, sketch`` of each ``line``: ``64 * WORDS`` bits, each turned over by every shingle that falls on it."""
+    each = texts.select("k", F.explode(shingle_set(F.col("line"))).alias("x"))
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(x, 8) % 64 as int))")
+    words = [F.bit_xor(F.when(F.pmod("x", F.lit(WORDS)) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)]
+    return each.groupBy("k").agg(*words).select("k", F.array(*[f"w{w}" for w in range(WORDS)]).alias("sketch"))
+
+
+def _near(sa: str, sb: str, na: str, nb: str) -> Column:
+    """Whether sketches let sets of these sizes be alike: bits that differ are no more than shingles that only one has."""
+    up, down = RATIO
+    differ = reduce(add, [F.bit_count(F.get(sa, F.lit(w)).bitwiseXOR(F.get(sb, F.lit(w)))) for w in range(WORDS)])
+    return (up + down) * differ <= (down - up) * (F.col(na) + F.col(nb))
+
+
+def _crossed(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """All pairs ``a, b`` of a bucket that are in two components and may be alike by sizes and sketches; no task gets more than two chunks at once."""
+    own = stored(sketches(texts.join(members.select("k").distinct(), "k", "left_semi")))
+    sized = members.join(members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), "band").join(own, "k")
+    dealt = stored(sized.withColumn("x", F.pmod(F.xxhash64("k"), F.col("chunks")).cast("int")))
+    side = lambda s: [F.col(c).alias(c[0] + s) for c in ("k", "n", "root", "sketch")]
+    left = dealt.select("band", F.col("x").alias("u"), F.explode(F.sequence("x", F.col("chunks") - 1)).alias("v"), *side("a"))
+    right = dealt.select("band", F.explode(F.sequence(F.lit(0), "x")).alias("u"), F.col("x").alias("v"), *side("b"))
+    met = left.join(right, ["band", "u", "v"]).where("ra <> rb and (u < v or ka < kb)").where(_can_be("na", "nb")).where(_near("sa", "sb", "na", "nb"))
+    out = stored(met.selectExpr("least(ka, kb) a", "greatest(ka, kb) b").distinct())
+    discard(own, dealt)
+    return out
 
 
 def removals(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -47,12 +47,12 @@ WORDS = 16
 BLANK = " \t\n\x0b\x0c\r"
 
 
-def shingle_set(line: Column) -> Column:
-    """Hashes of the distinct shingles; a line that is shorter is one shingle."""
+def shingles(line: Column) -> Column:
+    """Hashes of the shingles, one for each place; a line that is shorter is one shingle."""
     wide = 4 * SHINGLE  # four bytes a character, so that a place is found without counting
     places = lambda t: F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(t) - (wide - 1)), F.lit(4))
     of = lambda t: F.transform(places(t), lambda i: F.xxhash64(F.substring(t, i, F.lit(wide))))
-    return F.array_distinct(F.element_at(F.transform(F.array(F.encode(line, "UTF-32")), of), 1))
+    return F.element_at(F.transform(F.array(F.encode(line, "UTF-32")), of), 1)
 
 
 def filled(line: Column) -> Column:
@@ -80,29 +80,30 @@ def _held(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     return df.select(*keep, made).select(*keep, *[F.col(f"__made.{name}").alias(name) for name in columns])
 
 
+def shingle_sets(df: DataFrame, keep: list[str], **lines: str) -> DataFrame:
+    """``keep`` and sorted sets of the hashes of the distinct shingles of columns of lines.
+
+    Functions of elements keep a whole operator out of generated code, so they stand alone in theirs: interpreted, sorting takes as long as they do.
+    """
+    found = _held(df, keep, **{name: shingles(F.col(line)) for name, line in lines.items()})
+    return _held(found, keep, **{name: F.array_distinct(F.sort_array(name)) for name in lines})
+
+
 def bands(lines: DataFrame, keep: list[str]) -> DataFrame:
     """``keep``, ``n`` (distinct shingles) and ``band``, a hash, for each band of each ``line``."""
     up, down = RATIO
-    shift = 65 - RANGES.bit_length()
-    mark = lambda j: F.shiftleft(F.lit(j).cast("long") if isinstance(j, int) else j.cast("long"), shift).bitwiseXOR(F.lit(-(1 << 63)))
-    found = _held(lines, keep, g=F.sort_array(shingle_set(F.col("line"))))
-    marks = F.array(*[mark(j) for j in range(RANGES)])
-    found = _held(found, [*keep, "g"], n=F.size("g"), m=F.when(F.size("g") >= EVERY, F.sort_array(F.concat("g", marks))))
-    # Of short lines the places from 1 on, and below 0 those of single hashes; of others the numbers of ranges from 0 on.
+    found = _held(shingle_sets(lines, keep, g="line"), [*keep, "g"], n=F.size("g"))
+    # Places from 1 on are those of bands, and below 0 those of single hashes of short lines.
     # Two like sets, one of fewer than LEAST shingles, share one of the least of both.
     least = F.when(F.col("n") <= LEAST * down // up - 1, F.sequence(F.lit(-1), -F.floor(F.col("n") * (down - up) / down).cast("int") - 1, F.lit(-1)))
-    runs = F.when(F.col("n") >= LEAST, F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - (BAND - 1))))
+    runs = F.when(F.col("n") >= LEAST, F.sequence(F.lit(1), F.col("n") - (BAND - 1)))
     none = F.array().cast("array<int>")
-    places = F.when(F.col("m").isNull(), F.concat(F.coalesce(least, none), F.coalesce(runs, none))).otherwise(F.sequence(F.lit(0), F.lit(RANGES - 1)))
-    # One row for each place before it is looked up: generated code scans arrays much faster than functions of elements do.
-    spread = found.select(*keep, "g", "n", "m", F.explode(places).alias("j"))
-    begin = F.when(F.col("m").isNull(), F.col("j")).otherwise(F.array_position("m", mark(F.col("j"))).cast("int") - F.col("j"))
-    spread = _held(spread, [*keep, "g", "n", "m", "j"], p=begin)
+    spread = found.select(*keep, "g", "n", F.explode(F.concat(F.coalesce(least, none), F.coalesce(runs, none))).alias("p"))
+    # From EVERY shingles on those places stay whose hash is the first of its range, the top bits of a sorted (signed) hash.
+    part = lambda i: F.shiftrightunsigned(F.get("g", i), 65 - RANGES.bit_length())
+    spread = spread.where((F.col("p") <= 1) | (F.col("n") < EVERY) | (part(F.col("p") - 1) != part(F.col("p") - 2)))
     run = F.xxhash64(*[F.get("g", F.col("p") - 1 + i) for i in range(BAND)])
-    # A range without a hash has no band of its own: its beginning is that of the next one.
-    own = F.col("m").isNull() | (F.shiftrightunsigned(F.get("g", F.col("p") - 1).bitwiseXOR(F.lit(-(1 << 63))), shift) == F.col("j"))
-    band = F.when(F.col("p") < 0, F.xxhash64(F.get("g", -F.col("p") - 1))).when((F.col("p") + BAND - 1 <= F.col("n")) & own, run)
-    return _held(spread, [*keep, "n"], band=band).where("band is not null")
+    return spread.select(*keep, "n", F.when(F.col("p") < 0, F.xxhash64(F.get("g", -F.col("p") - 1))).otherwise(run).alias("band"))
 
 
 def _can_be(na: str, nb: str) -> Column:
@@ -116,7 +117,7 @@ def like(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     up, down = RATIO
     left, right = texts.select(F.col("k").alias("a"), F.col("line").alias("la")), texts.select(F.col("k").alias("b"), F.col("line").alias("lb"))
     met = pairs.select("a", "b").join(left, "a").join(right, "b")
-    sets = _held(met, ["a", "b"], sa=shingle_set(F.col("la")), sb=shingle_set(F.col("lb")))
+    sets = shingle_sets(met, ["a", "b"], sa="la", sb="lb")
     sized = _held(sets, ["a", "b"], shared=F.size(F.array_intersect("sa", "sb")), total=F.size("sa") + F.size("sb"))
     return sized.where((up + down) * F.col("shared") >= up * F.col("total")).select("a", "b")
 
@@ -126,13 +127,13 @@ def line_classes(documents: DataFrame, text: str = "text", key: str = "doc_id")
 
     ``lid`` and ``lid2`` are hashes of a line.  Of texts that share a ``lid``
     only one takes part in comparisons; the other ``lid2`` keep them apart.
-    In the graph a line is its number ``k``.
+    In the graph a line is its number ``k``.  ``lines`` are written last, since
+    disk is fullest while the bands are.
     """
     both = {"lid": F.xxhash64("line"), "lid2": F.xxhash64(F.lit(1), "line")}
     found = occurrences(documents, text, key)
-    lines = stored(found.withColumns(both).select("id", "id2", "key", "pos", *both))
-    distinct = found.select(*[c.alias(name) for name, c in both.items()], "line").groupBy("lid").agg(F.first(F.struct("lid2", "line")).alias("one"))
-    texts = stored(distinct.select(F.monotonically_increasing_id().alias("k"), "lid", "one.lid2", "one.line"))
+    distinct = found.select(both["lid"].alias("lid"), "line").groupBy("lid").agg(F.first("line").alias("line"))
+    texts = stored(distinct.select(F.monotonically_increasing_id().alias("k"), "line"))
     release(documents.sparkSession)
     banded = bands(texts, ["k"])
     met = F.count(F.lit(1)).over(Window.partitionBy("band"))
@@ -169,9 +170,9 @@ def line_classes(documents: DataFrame, text: str = "text", key: str = "doc_id")
         if not more.isEmpty():
             roots = components(edges.unionByName(more))
         discard(pairs)
-    classes = stored(texts.select("k", "lid", "lid2").join(roots.select(F.col("node").alias("k"), "root"), "k").select("lid", "lid2", "root"))
+    classes = stored(texts.select("k", *[c.alias(name) for name, c in both.items()]).join(roots.select(F.col("node").alias("k"), "root"), "k").select("lid", "lid2", "root"))
     discard(open_, texts)
-    return lines, classes
+    return stored(found.withColumns(both).select("id", "id2", "key", "pos", *both)), classes
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -185,7 +186,7 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 def sketches(texts: DataFrame) -> DataFrame:
     """``k, sketch`` of each ``line``: ``64 * WORDS`` bits, each turned over by every shingle that falls on it."""
-    each = texts.select("k", F.explode(shingle_set(F.col("line"))).alias("x"))
+    each = shingle_sets(texts, ["k"], g="line").select("k", F.explode("g").alias("x"))
     bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(x, 8) % 64 as int))")
     words = [F.bit_xor(F.when(F.pmod("x", F.lit(WORDS)) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)]
     return each.groupBy("k").agg(*words).select("k", F.array(*[f"w{w}" for w in range(WORDS)]).alias("sketch"))

@@ -21,16 +21,58 @@ def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
 
 
 def terms(events: DataFrame, tokens: Column, key: str = "node_id") -> DataFrame:
-    """``key, term, tf``: term frequency as a share of the tokens."""
-    exploded = events.select(key, F.size(tokens).alias("n"), F.explode(tokens).alias("term"))
-    return exploded.groupBy(key, "term").agg((F.count(F.lit(1)) / F.first("n")).alias("tf"))
+    """``key, term, tf``: term frequency as a share of the tokens; each key has one row, so nothing is shuffled.
+
+    Equal tokens are runs of the sorted array. The generators of one element
+    make each array once, since a lambda would compute it for every token.
+    """
+    ordered = events.select(key, F.explode(F.array(F.array_sort(tokens))).alias("s"))
+    starts = F.filter(F.transform("s", lambda t, i: i), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    runs = ordered.select(key, "s", F.explode(F.array(starts)).alias("at"))
+    counted = F.transform("at", lambda a, j: F.struct(F.get("s", a).alias("term"), (F.coalesce(F.get("at", j + 1), F.size("s")) - a).alias("n")))
+    return runs.select(key, F.size("s").alias("len"), F.explode(counted).alias("c")).select(key, "c.term", (F.col("c.n") / F.col("len")).alias("tf"))
+
+
+#: Characters of a term that are looked up; what follows them is compared.
+KEY = 64
+
+
+def contained(terms: DataFrame, words: DataFrame) -> DataFrame:
+    """``word, term``: the distinct terms that stand inside each of the distinct words.
+
+    A word gives its substrings at the lengths that terms have, and these meet
+    the terms in an equi-join; of terms beyond ``KEY`` characters the first
+    ``KEY`` are the key, so a word gives no more than ``KEY`` times its length.
+    """
+    keyed = terms.select("term", F.substring("term", 1, KEY).alias("key"))
+    lengths = keyed.agg(F.collect_set(F.length("key")).alias("lengths"))
+    sized = words.join(F.broadcast(lengths)).select("word", F.explode("lengths").alias("l")).where("l > 0 and l <= length(word)")
+    parts = sized.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - F.col("l") + 1), lambda i: F.substring("word", i, F.col("l"))))).alias("key"))
+    return parts.join(keyed, "key").where((F.length("term") <= KEY) | F.expr("contains(word, term)")).select("word", "term")
+
+
+def _lines_with(terms: DataFrame, texts: DataFrame, units: Column) -> DataFrame:
+    """``term, n``: texts of which a unit contains the term; texts of the same units are counted together and known by two 64-bit hashes."""
+    asked = texts.join(F.broadcast(terms.limit(1).select(F.lit(True).alias("__any")))).select(units.alias("units"))
+    sets = asked.groupBy("units").agg(F.count(F.lit(1)).alias("n"))
+    placed = sets.select(F.xxhash64("units").alias("h"), F.xxhash64(F.lit("units"), "units").alias("g"), "n", F.explode("units").alias("word"))
+    hits = placed.join(contained(terms, placed.select("word").distinct()), "word").select("h", "g", "n", "term").distinct()
+    return hits.groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def document_frequency(term_table: DataFrame, lines: DataFrame, raw: str = "raw") -> DataFrame:
-    """``term, df``: lines that contain the term as a substring (the term side is a vocabulary)."""
+    """``term, df``: lines that contain the term as a substring.
+
+    A term of letters stands inside one run of letters, so it is sought in the
+    distinct runs of the lines; any other term is sought in whole lines.
+    """
     vocabulary = term_table.select("term").distinct()
-    text = lines.select("line_id", F.lower(raw).alias("low"))
-    return vocabulary.join(text, F.expr("contains(low, term)"), "left").groupBy("term").agg(F.count("line_id").alias("df"))
+    texts = lines.select(F.lower(raw).alias("low")).where("low is not null")
+    letters = F.col("term").rlike("^[a-z]+\\z")
+    runs = F.array_sort(F.array_distinct(F.filter(F.split("low", "[^a-z]+"), lambda r: r != "")))
+    found = _lines_with(vocabulary.where(letters), texts, runs).unionByName(_lines_with(vocabulary.where(~letters & (F.col("term") != "")), texts, F.array("low")))
+    empty = vocabulary.where("term = ''").join(F.broadcast(texts.agg(F.count(F.lit(1)).alias("n"))))  # every line contains it
+    return vocabulary.join(found.unionByName(empty), "term", "left").select("term", F.coalesce("n", F.lit(0)).cast("long").alias("df"))
 
 
 def tf_idf(term_table: DataFrame, df: DataFrame, n: int, key: str = "node_id") -> DataFrame:

@@ -129,10 +129,13 @@ def pre_17(s, d):
 _DF = f"{_TF}, v as (select distinct t from w), df as (select v.t, count(c.raw) df from v left join {corpus_sql('orders')} c on contains(lower(c.raw), v.t) group by 1)"
 
 
+def _document_frequency(lines):
+    return ev.document_frequency(graph.written(lines.select(F.explode(tx.countgroup(F.col("raw"))).alias("term")).distinct()), lines)
+
+
 @query("pre_18_document_frequency", f"with {_DF} select t as term, df from df")
 def pre_18(s, d):
-    lines = corpus(s, d, "orders")
-    return ev.document_frequency(ev.terms(lines.withColumnRenamed("line_id", "node_id"), tx.countgroup(F.col("raw"))), lines)
+    return _document_frequency(corpus(s, d, "orders"))
 
 
 _TFIDF = f"{_DF}, x as (select w.node_id, w.t term, w.n / w.len * (case when df.df = 0 then 1 else 1 + ln((select count(*) from orders)::double / df.df) end) w from w join df using (t))"
@@ -141,7 +144,7 @@ _TFIDF = f"{_DF}, x as (select w.node_id, w.t term, w.n / w.len * (case when df.
 def _weights(s, d):
     lines = corpus(s, d, "orders")
     table = ev.terms(lines.withColumnRenamed("line_id", "node_id"), tx.countgroup(F.col("raw")))
-    return ev.tf_idf(table, ev.document_frequency(table, lines), lines.count())
+    return ev.tf_idf(table, graph.written(_document_frequency(lines)), lines.count())  # its size is known then, so a small one is broadcast
 
 
 @query("pre_19_tf_idf", f"with {_TFIDF} select node_id, term, round(w, 6) as w from x")

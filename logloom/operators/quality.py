@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from math import exp, lgamma, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .events import centroids
+from . import graph
+from .events import centroids, contained, terms
 from .similarity import pair_cosine
 
 
@@ -185,14 +187,40 @@ def dominant_labels(lines: DataFrame, phrases: list[str], cluster: str = "cluste
 
 
 def xie_beni(rows: DataFrame, cluster: str = "cluster_id", order: str = "line_id", text: str = "event") -> DataFrame:
-    """Sum of squared similarities to the centroid over the lines times the least squared similarity of centroids."""
-    split = lambda c: F.filter(F.split(c, " "), lambda t: t != "")
-    likeness = lambda a, b: pair_cosine(a, b, split(a), split(b))
-    own = centroids(rows, cluster, order, text, distinct=False)
-    inner = rows.groupBy(cluster, text).agg(F.count(F.lit(1)).alias("m")).join(own, cluster)
-    top = inner.agg(F.sum(F.col("m") * F.pow(likeness(F.col(text), F.col("centroid")), 2)).alias("top"), F.sum("m").alias("n"))
-    least = own.select(F.col("centroid").alias("a")).join(own.select(F.col("centroid").alias("b"))).agg(F.min(likeness(F.col("a"), F.col("b"))).alias("least"))
-    return top.join(least).select(F.round(F.coalesce(F.try_divide("top", F.col("n") * F.pow("least", 2)), F.lit(0.0)), 3).alias("value"))
+    """Sum of squared similarities to the centroid over the lines times the least squared similarity of centroids.
+
+    A centroid is all texts of a cluster end to end, so it is kept as counts of
+    its words and never built; their ``order`` does not matter. In the cosine of
+    a corpus of two a word weighs tf where the other text contains it, else
+    tf (1 + ln 2): squared norms come from all words and from those contained.
+    """
+    split = F.filter(F.split(text, " "), lambda t: t != "")
+    texts = graph.written(rows.where(F.col(cluster).isNotNull()).groupBy(cluster, text).agg(F.count(F.lit(1)).alias("m")).withColumn("id", F.monotonically_increasing_id()))
+    counts = texts.select(cluster, "m", F.explode(split).alias("term")).groupBy(cluster, "term").agg(F.sum("m").alias("n"))
+    own = graph.written(counts.join(counts.groupBy(cluster).agg(F.sum("n").alias("all")), cluster).select(F.col(cluster).alias("a"), "term", (F.col("n") / F.col("all")).alias("tf")))
+    whole = graph.written(own.groupBy("a").agg(F.sum(F.col("tf") * F.col("tf")).alias("whole")))
+    vocabulary = own.select("term").distinct()
+    inside = graph.written(contained(vocabulary, vocabulary.withColumnRenamed("term", "word")))
+    square = (1 + math.log(2)) ** 2
+    norm = lambda all_, within: F.sqrt(F.col(within) + square * F.greatest(F.col(all_) - F.col(within), F.lit(0.0)))
+
+    words = graph.written(terms(texts, split, "id").join(texts.select("id", F.col(cluster).alias("a")), "id"))
+    near = words.withColumnRenamed("tf", "t").join(own, ["a", "term"]).groupBy("id").agg(F.sum(F.col("t") * F.col("tf")).alias("dot"), F.sum(F.col("t") * F.col("t")).alias("square"))
+    met = words.select("id", "a", F.col("term").alias("word")).join(inside, "word").select("id", "a", "term").distinct()
+    within = met.join(own, ["a", "term"]).groupBy("id", "a").agg(F.sum(F.col("tf") * F.col("tf")).alias("within"))
+    # all words of a text stand in its own centroid
+    scored = near.join(within, "id").join(whole, "a").select("id", F.round(F.col("dot") / (F.sqrt("square") * norm("whole", "within")), 3).alias("likeness"))
+    top = texts.join(scored, "id", "left").agg(F.sum(F.col("m") * F.pow(F.coalesce("likeness", F.lit(0.0)), 2)).alias("top"), F.sum("m").alias("n"), F.countDistinct(cluster).alias("k"))
+
+    other = own.select(F.col("a").alias("b"), "term", F.col("tf").alias("t"))
+    dots = own.join(other, "term").groupBy("a", "b").agg(F.sum(F.col("tf") * F.col("t")).alias("dot"))
+    held = other.select("b", F.col("term").alias("word")).join(inside, "word").select("b", "term").distinct()
+    parts = graph.written(own.join(held, "term").groupBy("a", "b").agg(F.sum(F.col("tf") * F.col("tf")).alias("within")))
+    both = dots.join(parts, ["a", "b"]).join(parts.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("within").alias("back")), ["a", "b"])
+    sized = both.join(whole, "a").join(whole.select(F.col("a").alias("b"), F.col("whole").alias("other")), "b")
+    least = sized.agg(F.min(F.round(F.col("dot") / (norm("whole", "within") * norm("other", "back")), 3)).alias("least"), F.count(F.lit(1)).alias("pairs"))
+    lowest = F.when(F.col("pairs") == F.col("k") * F.col("k"), F.col("least")).otherwise(0.0)  # centroids without a common word have similarity 0
+    return top.join(least).select(F.round(F.coalesce(F.try_divide("top", F.col("n") * F.pow(lowest, 2)), F.lit(0.0)), 3).alias("value"))
 
 
 def text_silhouette(pairs: DataFrame, membership: DataFrame) -> DataFrame:

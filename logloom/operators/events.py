@@ -7,19 +7,32 @@ from pyspark.sql import functions as F
 
 from logloom.functions.text import countgroup, event_tokens
 
+from . import graph
+
 
 def unique_events(lines: DataFrame, event: Column | None = None, raw: str = "raw") -> DataFrame:
     """``node_id, event, frequency, first_line, members``: equal events are one, numbered by first line."""
     key = F.concat_ws(" ", event_tokens(F.col(raw))) if event is None else event
-    grouped = lines.select("line_id", key.alias("event")).groupBy("event").agg(F.count(F.lit(1)).alias("frequency"), F.min("line_id").alias("first_line"), F.array_sort(F.collect_list("line_id")).alias("members"))
-    return numbered(grouped, "first_line", "node_id")
+    grouped = lines.select("line_id", key.alias("event")).groupBy("event").agg(F.count(F.lit(1)).alias("frequency"), F.min("line_id").alias("first_line"), F.sort_array(F.collect_list("line_id")).alias("members"))
+    return numbered_by_ranges(grouped, "first_line", "node_id")
 
 
 def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
-    """Dense ids from 0 in the order of ``by`` (one row per event or cluster, so few against the lines)."""
+    """Dense ids from 0 in the order of ``by``, in one task: for clusters, few against the lines."""
     return rows.withColumn(name, (F.row_number().over(Window.orderBy(by)) - 1).cast("long"))
 
 
+def numbered_by_ranges(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """The same ids for any number of rows with distinct ``by``: each task orders a range, and what stands in earlier ranges is added."""
+    placed = F.monotonically_increasing_id()  # the partition from bit 33 on, below it the place
+    kept = graph.written(rows.repartitionByRange(by).sortWithinPartitions(by).withColumn("__at", placed))
+    part = F.shiftright("__at", 33)
+    sizes = kept.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))  # one row a task
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select("__part", before.alias("__before"))
+    return kept.withColumn("__part", part).join(F.broadcast(shifts), "__part").select(*rows.columns, (F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).alias(name))
+
+
 def terms(events: DataFrame, tokens: Column, key: str = "node_id") -> DataFrame:
     """``key, term, tf``: term frequency as a share of the tokens; each key has one row, so nothing is shuffled.
 

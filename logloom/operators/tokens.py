@@ -5,6 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import graph
+
+#: Lines of one task where each line brings keys of its own into a count.
+DEALT = 100_000
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt out to tasks of ``DEALT`` lines, so that the partial counts of a task fit its memory however the files are cut."""
+    parts = -(-rows.count() // DEALT)
+    return rows.repartition(parts) if parts > 1 else rows
+
 
 def by_count(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Step 1: partition by token count."""
@@ -15,14 +26,16 @@ def by_position(rows: DataFrame, support: int = 0) -> DataFrame:
     """Step 2: split each part by the place with the fewest distinct tokens (the first of equals).
 
     ``line_id, tokens, part, pos, token``; a part whose fewest is 1, or that has
-    at most ``support`` lines, is not split (pos -1, empty token).
+    at most ``support`` lines, is not split (pos -1, empty token). The choices,
+    one for each number of tokens that a line has, are broadcast: few parts hold
+    nearly all lines, so a shuffle by part would put these into few tasks.
     """
     placed = rows.select("part", F.posexplode("tokens").alias("pos", "token"))
     distinct = placed.groupBy("part", "pos").agg(F.countDistinct("token").alias("d"))
     best = distinct.groupBy("part").agg(F.min(F.struct("d", "pos")).alias("b")).select("part", F.col("b.d").alias("d"), F.col("b.pos").alias("best"))
     sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     chosen = best.join(sizes, "part").select("part", F.when((F.col("d") > 1) & (F.col("n") > support), F.col("best")).otherwise(-1).alias("pos"))
-    return rows.join(chosen, "part", "left").select("line_id", "tokens", "part", F.coalesce("pos", F.lit(-1)).alias("pos"), F.when(F.col("pos") >= 0, F.get("tokens", F.col("pos"))).otherwise("").alias("token"))
+    return rows.join(F.broadcast(chosen), "part", "left").select("line_id", "tokens", "part", F.coalesce("pos", F.lit(-1)).alias("pos"), F.when(F.col("pos") >= 0, F.get("tokens", F.col("pos"))).otherwise("").alias("token"))
 
 
 def mapping(rows: DataFrame, p1: int, p2: int) -> DataFrame:
@@ -50,14 +63,25 @@ def term_pairs(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
     return rows.select("line_id", tokens, i).select("line_id", "first", F.explode(F.slice(tokens, F.col("i") + 2, F.size(tokens))).alias("next"))
 
 
+def distinct_term_pairs(rows: DataFrame, *keep: str, tokens: str = "tokens") -> DataFrame:
+    """The pairs of each line once, with the columns ``keep``, without a shuffle: the first place of a token sees all that follow it."""
+    firsts = rows.select(*keep, tokens, F.posexplode(tokens).alias("i", "first")).where(F.array_position(tokens, F.col("first")) == F.col("i") + 1)
+    return firsts.select(*keep, "first", F.explode(F.array_distinct(F.slice(tokens, F.col("i") + 2, F.size(tokens)))).alias("next"))
+
+
+def initial_group(line_id: Column, k: int, seed: int = 0) -> Column:
+    digest = F.conv(F.substring(F.md5(F.concat_ws("-", line_id.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    return F.pmod(digest, F.lit(k)).cast("int")
+
+
 def initial_groups(rows: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """A group for each line from a hash of its id and a seed."""
-    digest = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("line_id").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
-    return rows.select("line_id", F.pmod(digest, F.lit(k)).cast("int").alias("group_id"))
+    return rows.select("line_id", initial_group(F.col("line_id"), k, seed).alias("group_id"))
 
 
-def pair_counts(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    return pairs.distinct().join(groups, "line_id").groupBy("group_id", "first", "next").agg(F.count(F.lit(1)).alias("n"))
+def pair_counts(grouped: DataFrame) -> DataFrame:
+    """``group_id, first, next, n``: lines of a group (``line_id, tokens, group_id``) that have the pair."""
+    return distinct_term_pairs(grouped, "group_id").groupBy("group_id", "first", "next").agg(F.count(F.lit(1)).alias("n"))
 
 
 def signatures(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -72,8 +96,26 @@ def frequent_words(rows: DataFrame, percent: float, lines: int, tokens: str = "t
     return rows.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= int(percent * lines / 100))
 
 
+#: Words (or places with words) that are looked up inside a line; where there are more, they are joined.
+LISTED = 10_000
+
+
+def _listed(found: DataFrame, column: str) -> list[str] | None:
+    """The values of a column of distinct strings, or nothing where they are more than ``LISTED``."""
+    values = [r[0] for r in found.select(column).limit(LISTED + 1).collect()]
+    return values if len(values) <= LISTED else None
+
+
 def candidates(rows: DataFrame, frequent: DataFrame) -> DataFrame:
-    """``line_id, candidate``: the frequent words of each line in order; none: null."""
+    """``line_id, candidate``: the frequent words of each line in order; none: null.
+
+    Words that stand in a share of the lines are few, so each line looks them up
+    and nothing is shuffled.
+    """
+    words = _listed(frequent, "word")
+    if words is not None:
+        made = F.concat_ws(" ", F.filter("tokens", lambda t: t.isin(words) if words else F.lit(False)))
+        return rows.select("line_id", F.when(F.exists("tokens", lambda t: t.isin(words) if words else F.lit(False)), made).alias("candidate"))
     placed = rows.select("line_id", F.posexplode("tokens").alias("pos", "word")).join(frequent.select("word"), "word")
     made = placed.groupBy("line_id").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"])).alias("candidate"))
     return rows.select("line_id").join(made, "line_id", "left")
@@ -81,8 +123,13 @@ def candidates(rows: DataFrame, frequent: DataFrame) -> DataFrame:
 
 def candidate_gaps(rows: DataFrame, frequent: DataFrame) -> DataFrame:
     """``candidate, slot, low, high, n``: fewest and most other words before each frequent word, and after the last."""
-    placed = rows.select("line_id", F.size("tokens").alias("len"), F.posexplode("tokens").alias("pos", "word")).join(frequent.select("word"), "word")
-    by_line = placed.groupBy("line_id", "len").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("s"))
+    words = _listed(frequent, "word")
+    if words is not None:
+        kept = F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("word"))), lambda x: x["word"].isin(words) if words else F.lit(False))
+        by_line = rows.select("line_id", F.size("tokens").alias("len"), F.explode(F.array(kept)).alias("s")).where(F.size("s") > 0)  # the generator makes it once
+    else:
+        placed = rows.select("line_id", F.size("tokens").alias("len"), F.posexplode("tokens").alias("pos", "word")).join(frequent.select("word"), "word")
+        by_line = placed.groupBy("line_id", "len").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("s"))
     places = F.concat(F.array(F.lit(-1)), F.transform("s", lambda x: x["pos"]), F.array(F.col("len")))
     gaps = F.zip_with(places, F.slice(places, 2, 1_000_000), lambda a, b: b - a - 1)
     slots = by_line.select(F.concat_ws(" ", F.transform("s", lambda x: x["word"])).alias("candidate"), F.posexplode(F.filter(gaps, lambda g: g.isNotNull())).alias("slot", "gap"))
@@ -97,12 +144,27 @@ def pretty(gaps: DataFrame) -> DataFrame:
 
 
 def line_patterns(rows: DataFrame, support: int) -> DataFrame:
-    """Frequent (place, word) pairs make a pattern of each line; patterns below the support go."""
+    """Frequent (place, word) pairs make a pattern of each line; patterns below the support go.
+
+    Lines look up the pairs of at least one line in a thousand, few by their
+    share. Only for the other pairs are tokens joined, and then without any word
+    that most lines have.
+    """
+    at = lambda i, w: F.concat_ws(" ", i.cast("string"), w)
     placed = rows.select("line_id", F.posexplode("tokens").alias("pos", "word"))
-    often = placed.groupBy("pos", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("pos", "word", F.lit(True).alias("often"))
-    marked = placed.join(often, ["pos", "word"], "left").select("line_id", F.struct("pos", F.when(F.col("often"), F.col("word")).otherwise("*").alias("w")).alias("s"))
-    patterns = marked.groupBy("line_id").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list("s")), lambda s: s["w"])).alias("pattern"))
-    return patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
+    often = graph.written(placed.groupBy("pos", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select(at(F.col("pos"), F.col("word")).alias("at"), "n"))
+    bar = max(support, rows.count() // 1000)
+    known = _listed(often.where(F.col("n") >= bar), "at") or []
+    rest = often.where(F.col("n") < bar).select("at") if known else often.select("at")
+    listed = lambda i, w: at(i, w).isin(known) if known else F.lit(False)
+    if rest.isEmpty():
+        whole = rows.where(F.size("tokens") > 0).select(F.transform("tokens", lambda w, i: F.when(listed(i, w), w).otherwise("*")).alias("words"))
+    else:
+        asked = placed.where(~listed(F.col("pos"), F.col("word"))).select("line_id", "pos", at(F.col("pos"), F.col("word")).alias("at"))
+        more = asked.join(rest, "at").groupBy("line_id").agg(F.collect_list("pos").alias("more"))
+        both = rows.where(F.size("tokens") > 0).join(more, "line_id", "left")
+        whole = both.select(F.transform("tokens", lambda w, i: F.when(listed(i, w) | F.coalesce(F.array_contains("more", i), F.lit(False)), w).otherwise("*")).alias("words"))
+    return whole.groupBy(F.concat_ws(" ", "words").alias("pattern")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
 
 
 def two_means(values: DataFrame, column: str, rounds: int = 20) -> float | None:

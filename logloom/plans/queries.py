@@ -160,8 +160,9 @@ def pre_20(s, d):
 _PLACED = f"p as (select line_id, u.w, u.i from (select line_id, {_W} l from {corpus_sql('orders')}) x, lateral (select unnest(x.l) w, unnest(range(len(x.l))) i) u)"
 
 
-def _orders(s, d):
-    return corpus(s, d, "orders").select("line_id", tx.words(F.col("raw")).alias("tokens"))
+def _orders(s, d, deal=False):
+    lines = corpus(s, d, "orders")
+    return (tk.dealt(lines) if deal else lines).select("line_id", tx.words(F.col("raw")).alias("tokens"))
 
 
 for _first in (False, True):
@@ -428,7 +429,7 @@ def tok_01(s, d):
     f"with {_SIZED}, p as (select len(l) part, line_id, unnest(l) w, unnest(range(len(l))) i from r), d as (select part, i, count(distinct w) d from p group by 1, 2), b as (select part, min_by(i, (d, i)) i, min(d) d from d group by 1) select r.line_id, b.part, case when b.d > 1 then b.i else -1 end as pos, case when b.d > 1 then l[b.i + 1] else '' end as token from r join b on b.part = len(r.l)",
 )
 def tok_02(s, d):
-    return tk.by_position(tk.by_count(_orders(s, d))).select("line_id", "part", "pos", "token")
+    return tk.by_position(tk.by_count(_orders(s, d, deal=True))).select("line_id", "part", "pos", "token")
 
 
 @query(
@@ -459,8 +460,7 @@ _GROUPS = f"gr as (select line_id, cast(('0x' || substr(md5(concat_ws('-', line_
 
 @query("tok_15_group_pair_counts", f"with {_PAIRS}, {_GROUPS} select group_id, first, next, count(*) as n from (select distinct * from tp) join gr using (line_id) group by 1, 2, 3")
 def tok_15(s, d):
-    rows = _orders(s, d)
-    return tk.pair_counts(tk.term_pairs(rows), tk.initial_groups(rows, 4, 7))
+    return tk.pair_counts(_orders(s, d, deal=True).withColumn("group_id", tk.initial_group(F.col("line_id"), 4, 7)))
 
 
 @query("tok_17_signatures", f"with {_SIZED}, {_GROUPS}, z as (select group_id, count(*) c from gr group by 1), w as (select group_id, w word, count(*) n from (select distinct line_id, unnest(l) w from r) join gr using (line_id) group by 1, 2) select group_id, word, n from w join z using (group_id) where n >= ceil(c / 2)")
@@ -473,7 +473,7 @@ _CAND = f"{_SIZED}, p as (select line_id, len(l) len, unnest(l) w, unnest(range(
 
 
 def _frequent(s, d):
-    rows = graph.written(_orders(s, d))
+    rows = graph.written(_orders(s, d, deal=True))
     return rows, tk.frequent_words(rows, 10, rows.count())
 
 
@@ -499,12 +499,12 @@ def tok_22(s, d):
 def tok_20(s, d):
     found = tk.candidates(*_frequent(s, d))
     often = found.where("candidate is not null").groupBy("candidate").agg(F.count(F.lit(1)).alias("n")).where("n >= 100").select("candidate", F.col("candidate").alias("cluster"))
-    return found.join(often, "candidate", "left").select("line_id", F.coalesce("cluster", F.lit("outlier")).alias("cluster"))
+    return found.join(graph.written(often), "candidate", "left").select("line_id", F.coalesce("cluster", F.lit("outlier")).alias("cluster"))
 
 
 @query("tok_26_line_patterns", f"with {_SIZED}, p as (select line_id, unnest(l) w, unnest(range(len(l))) i from r), f as (select i, w, true o from p group by 1, 2 having count(*) >= 150), m as (select line_id, string_agg(case when o then p.w else '*' end, ' ' order by p.i) pattern from p left join f using (i, w) group by 1) select pattern, count(*) as n from m group by 1 having count(*) >= 150")
 def tok_26(s, d):
-    return tk.line_patterns(_orders(s, d), 150)
+    return tk.line_patterns(graph.written(_orders(s, d, deal=True)), 150)
 
 
 @query("tok_27_assign_templates", f"select line_id, case when contains(raw, 'status O') and contains(raw, 'URGENT') then 0 when contains(raw, 'status F') then 1 end as template_id from {corpus_sql('orders')} where (contains(raw, 'status O') and contains(raw, 'URGENT')) or contains(raw, 'status F')")
